@@ -26,8 +26,17 @@ def lead_columns(design: DataFrame) -> list[str]:
     return sorted(leads, key=lambda c: int(c[4:]))
 
 
+_PLANS: dict = {}
+
+
 def fold_plan(spark, n_blocks: int, design: str = "rcf") -> list:
-    """Per fold: block lists that train it, and the split that tunes it (K rows)."""
+    """Per fold: block lists that train it, and the split that tunes it (K rows, no data)."""
+    if (n_blocks, design) not in _PLANS:
+        _PLANS[n_blocks, design] = _fold_plan(spark, n_blocks, design)
+    return _PLANS[n_blocks, design]
+
+
+def _fold_plan(spark, n_blocks: int, design: str) -> list:
     check_folds(n_blocks, design)
     blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
     sides = fold_table(spark, n_blocks, design).withColumn(

@@ -36,7 +36,8 @@ def block_gram(design: DataFrame, z_cols, keys=(), chunk_rows: int = CHUNK_ROWS)
     """``keys, block_id, n_rows, anchor, g``; ``g`` is the upper triangle by rows of
     ``sum([1, z - anchor] [1, z - anchor]')``."""
     keys, z_cols = list(keys), list(z_cols)
-    shift = materialize(anchors(design, z_cols, keys))
+    shift = anchors(design, z_cols, keys)
+    shift = materialize(shift) if keys else shift
     rows = attach(design.where(F.col("block_id").isNotNull()).select(*keys, "pos", "n_rows", "block_id", *z_cols),
                   shift, keys, chunk_rows=chunk_rows)
     z = [F.lit(1.0), *[F.col(c) - F.col("anchor")[i] for i, c in enumerate(z_cols)]]

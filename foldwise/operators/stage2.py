@@ -88,13 +88,13 @@ def stage2_block(resid: DataFrame, spec: Inference = Inference(), by=(), chunk_r
         explicit = "h" in by
         width = F.col("h") + 1 if explicit else default_bandwidth(kernel, n)
     elif rule.startswith("andrews"):
-        rho = first_autocorrelation(scores, "score", by, chunk_rows)
+        rho = materialize(first_autocorrelation(scores, "score", by, chunk_rows))
         stats = stats.join(rho, by, "left") if by else attach(stats, rho)
         width = rule_bandwidth(rule, n, rho=F.col("rho"))
     else:
         width = rule_bandwidth(rule, n, F.col("h") if "h" in by else 0, spec.value)
-    stats = materialize(stats.withColumn("asked", width.cast("int")).withColumn(
-        "bandwidth", clipped(kernel, F.col("asked"), n)).withColumn("dof", F.col("n_blocks")))
+    stats = stats.withColumn("asked", width.cast("int")).withColumn(
+        "bandwidth", clipped(kernel, F.col("asked"), n)).withColumn("dof", F.col("n_blocks"))
     long_run = centred_lrv(scores, ["score"], stats, kernel, by, chunk_rows).select(*by, "lrv_0_0")
     both = stats.join(long_run, by) if by else attach(stats, long_run)
     # Rounding can leave a tiny negative variance where a kernel allows it.
