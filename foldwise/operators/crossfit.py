@@ -17,8 +17,9 @@ from foldwise.operators.learners import square, unshifted, weights
 from foldwise.operators.storage import CHUNK_ROWS, attach, materialize
 from foldwise.plans.spec import Learner
 
-#: Up to here a prediction is one generated sum; beyond, a fold over an array.
-MAX_TERMS = 64
+#: Up to this many products per row predictions are generated sums; beyond, folds
+#: over an array of the features, as generated code has a size limit.
+MAX_TERMS = 128
 
 
 def lead_columns(design: DataFrame) -> list[str]:
@@ -129,25 +130,32 @@ def nuisance(gram: DataFrame, learners: DataFrame, n_features: int, horizons: in
     return spread(tasks, *keys, "fold").mapInPandas(solve, schema)
 
 
-def predicted(features, coef: Column) -> Column:
-    if len(features) <= MAX_TERMS:
+def with_features(rows: DataFrame, features, equations: int) -> DataFrame:
+    """Add the array ``_x`` that ``predicted`` folds over, where there are many products."""
+    if len(features) * equations <= MAX_TERMS:
+        return rows
+    return rows.withColumn("_x", F.array(F.lit(1.0), *[F.col(c) for c in features]))
+
+
+def predicted(features, coef: Column, equations: int) -> Column:
+    if len(features) * equations <= MAX_TERMS:
         out = coef[0]
         for j, name in enumerate(features):
             out = out + coef[j + 1] * F.col(name)
         return out
-    x = F.array(F.lit(1.0), *[F.col(c) for c in features])
-    return F.aggregate(F.zip_with(x, coef, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return F.aggregate(F.zip_with("_x", coef, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
 def residuals(design: DataFrame, coefs: DataFrame, features, keys=(), time_col: str = "ts",
               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``keys, time, pos, n_rows, block_id, xi, chi0..chiH``; rows outside the blocks are left out."""
     keys, leads = list(keys), lead_columns(design)
-    rows = attach(design.where(F.col("block_id").isNotNull()), coefs, keys, ["block_id"], chunk_rows)
+    rows = with_features(design.where(F.col("block_id").isNotNull()), features, len(leads) + 1)
+    rows = attach(rows, coefs, keys, ["block_id"], chunk_rows)
     return rows.select(
         *keys, time_col, "pos", "n_rows", "block_id",
-        (F.col("d") - predicted(features, F.col("policy_coef"))).alias("xi"),
-        *[(F.col(c) - predicted(features, F.col("outcome_coef")[h])).alias(f"chi{h}") for h, c in enumerate(leads)])
+        (F.col("d") - predicted(features, F.col("policy_coef"), len(leads) + 1)).alias("xi"),
+        *[(F.col(c) - predicted(features, F.col("outcome_coef")[h], len(leads) + 1)).alias(f"chi{h}") for h, c in enumerate(leads)])
 
 
 def crossfit(design: DataFrame, gram: DataFrame, learners: DataFrame, features, n_blocks: int,

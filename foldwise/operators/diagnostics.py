@@ -82,8 +82,9 @@ def boundary_leakage(resid: DataFrame, column: str, n_blocks: int, max_lag: int
     types = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys],
                         "fold string, F_stat double, p_value double, n_obs bigint, df int"])
-    grouped = edges.groupBy(*keys) if keys else edges.groupBy(F.lit(0))  # at most 2 max_lag rows per block
-    return grouped.applyInPandas(test, schema)
+    by = keys or ["_all"]  # at most 2 max_lag rows per block in a group
+    grouped = edges if keys else edges.withColumn("_all", F.lit(0))
+    return grouped.groupBy(*by).applyInPandas(test, schema)
 
 
 def ljung_box(resid: DataFrame, column: str, lags: int = 8, keys=(), chunk_rows: int = CHUNK_ROWS) -> DataFrame:

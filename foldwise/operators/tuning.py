@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.operators.crossfit import added, fold_plan, fold_tasks, predicted, spread
+from foldwise.operators.crossfit import added, fold_plan, fold_tasks, predicted, spread, with_features
 from foldwise.operators.learners import KINDS, squared_error, unshifted, weights
 from foldwise.operators.storage import CHUNK_ROWS, attach, materialize
 from foldwise.plans.spec import Learner
@@ -122,11 +122,13 @@ def custom_profile(design: DataFrame, gram: DataFrame, outcome_grid, policy_grid
     lines = base.select(*keys, "n_rows", "fold", "equation", "grid_idx", "coef", near[F.col("fold")].alias("block_id"))
     sets = lines.groupBy(*keys, "n_rows", "block_id").agg(
         F.collect_list(F.struct("fold", "equation", "grid_idx", "coef")).alias("_all"))
-    rows = attach(design.where(F.col("block_id").isNotNull()), materialize(sets), keys, ["block_id"], chunk_rows)
-    each = rows.select(*keys, "y", "d", *features, F.explode("_all").alias("_m")).select(
+    rows = with_features(design.where(F.col("block_id").isNotNull()), features, 1)
+    x = ["_x"] if "_x" in rows.columns else list(features)
+    rows = attach(rows, materialize(sets), keys, ["block_id"], chunk_rows)
+    each = rows.select(*keys, "y", "d", *x, F.explode("_all").alias("_m")).select(
         *keys, "_m.fold", "_m.equation", "_m.grid_idx",
         F.when(F.col("_m.equation") == "outcome", F.col("y")).otherwise(F.col("d")).alias("_y"),
-        predicted(features, F.col("_m.coef")).alias("_fit"))
+        predicted(features, F.col("_m.coef"), 1).alias("_fit"))
     scores = each.groupBy(*keys, "fold", "equation", "grid_idx").agg(metric(F.col("_y"), F.col("_fit")).alias("rmse"))
     return base.drop("rmse", "coef").join(scores, [*keys, "fold", "equation", "grid_idx"])
 

@@ -114,7 +114,7 @@ def lrv(rows: str, kernel: str, width: str, dof: str = "0", by: str = "") -> str
         return base + f""",
       lr_l AS (SELECT {key}n, width, j, sum(sqrt(2.0 / n) * cos(pi() * j * (rn - 0.5) / n) * s) AS l
         FROM (SELECT *, unnest(range(1, width + 1)) AS j FROM lr_c) GROUP BY ALL),
-      lrv AS (SELECT {key}n, width, sum(l * l) / width AS v FROM lr_l GROUP BY ALL)"""
+      lrv AS (SELECT {key}n, width, sum(l * l) / max(width) AS v FROM lr_l GROUP BY ALL)"""
     sel = "".join(f"a.{c}, " for c in cols)
     return base + f""",
       lr_p AS (SELECT {sel}a.n, a.width, a.dof, a.lag, sum(a.s * b.s) AS p
@@ -153,6 +153,7 @@ def stage2_block(rows: str, kernel: str = "bartlett", width: str | None = None,
 
 def t_p(t: str, df: str) -> str:
     """Two-sided p-value of Student's t for whole degrees of freedom, as a finite sum."""
+    df = f"({df})"
     cos2 = f"({df} / ({df} + ({t}) * ({t})))"
     sin = f"(({t}) / sqrt({df} + ({t}) * ({t})))"
     even = (f"({sin} * list_sum([exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1.0) + j * ln({cos2})) "
