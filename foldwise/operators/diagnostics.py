@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.dist import beta_tail, chi2_p_value
 from foldwise.operators.hac import lag_products
-from foldwise.operators.storage import CHUNK_ROWS, attach, materialize
+from foldwise.operators.storage import CHUNK_ROWS, attach, beside, materialize
 
 
 def edge_rows(resid: DataFrame, column: str, n_blocks: int, max_lag: int = 2, keys=(), controls=()) -> DataFrame:
@@ -96,7 +96,7 @@ def ljung_box(resid: DataFrame, column: str, lags: int = 8, keys=(), chunk_rows:
     centred = attach(rows.select(*keys, "pos", column), stats, keys, chunk_rows=chunk_rows).select(
         *keys, "pos", (F.col(column) - F.col("_m")).alias("_e"))
     sums = lag_products(centred, ["_e"], lags, keys, chunk_rows)
-    both = sums.join(stats, keys) if keys else attach(sums, stats)
+    both = beside(sums, stats, keys)
     n, p = F.col("_n"), F.col("p_0_0")
     term = lambda k: F.pow(F.try_divide(p[k], p[0]), F.lit(2.0)) / (n - k)
     k = F.col("lag")

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.storage import CHUNK_ROWS, attach, materialize
+from foldwise.operators.storage import CHUNK_ROWS, attach, beside, materialize
 
 #: Above this many product sums they are formed in numpy, a batch at a time.
 MAX_SUM_COLUMNS = 150
@@ -36,8 +36,7 @@ def block_gram(design: DataFrame, z_cols, keys=(), chunk_rows: int = CHUNK_ROWS)
     """``keys, block_id, n_rows, anchor, g``; ``g`` is the upper triangle by rows of
     ``sum([1, z - anchor] [1, z - anchor]')``."""
     keys, z_cols = list(keys), list(z_cols)
-    shift = anchors(design, z_cols, keys)
-    shift = materialize(shift) if keys else shift
+    shift = materialize(anchors(design, z_cols, keys))
     rows = attach(design.where(F.col("block_id").isNotNull()).select(*keys, "pos", "n_rows", "block_id", *z_cols),
                   shift, keys, chunk_rows=chunk_rows)
     z = [F.lit(1.0), *[F.col(c) - F.col("anchor")[i] for i, c in enumerate(z_cols)]]
@@ -50,11 +49,7 @@ def block_gram(design: DataFrame, z_cols, keys=(), chunk_rows: int = CHUNK_ROWS)
         packed = sums.select(*group, F.array(*[F.col(f"_g{k}") for k in range(len(pairs))]).alias("g"))
     else:
         packed = _wide_sums(rows.select(*group, F.array(*z).alias("_z")), group, len(z))
-    if keys:
-        out = packed.join(shift, keys)
-    else:
-        out = attach(packed, shift, keys)
-    return materialize(out)
+    return materialize(beside(packed, shift, keys))
 
 
 def _wide_sums(rows: DataFrame, group, width: int) -> DataFrame:

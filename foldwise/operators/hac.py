@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.operators.position import chunk_window, halo
-from foldwise.operators.storage import CHUNK_ROWS, attach, chunk_of, materialize
+from foldwise.operators.storage import CHUNK_ROWS, attach, beside, chunk_of, materialize
 
 # Accepted names of the kernels.
 KERNELS = {
@@ -131,22 +131,21 @@ def lag_products(rows: DataFrame, cols, max_lag: int, keys=(), chunk_rows: int =
 
         sums = []
         for i, j in _pairs(cols):
-            one = [F.coalesce(F.sum(F.col(cols[i]) * back(j, l) + (
-                F.col(cols[j]) * back(i, l) if i != j else F.lit(0.0))), F.lit(0.0)) for l in lags]
+            one = [F.coalesce(F.sum(F.col(cols[i]) * back(j, l) if i == j else F.col(cols[i]) * back(j, l)
+                                 + F.col(cols[j]) * back(i, l)), F.lit(0.0)) for l in lags]
             sums.append(F.array(*one).alias(f"p_{i}_{j}"))
         piece = wide.groupBy(*keys).agg(*sums)
         if parts is None:
             parts = piece
         else:
             old = parts.select(*keys, *[F.col(f"p_{i}_{j}").alias(f"_old_{i}_{j}") for i, j in _pairs(cols)])
-            both = old.join(piece, keys) if keys else attach(old, piece)
+            both = beside(old, piece, keys)
             parts = both.select(*keys, *[F.concat(f"_old_{i}_{j}", f"p_{i}_{j}").alias(f"p_{i}_{j}") for i, j in _pairs(cols)])
     return parts
 
 
-def _kernel_sums(rows, cols, groups, kernel, keys, max_width, chunk_rows):
-    sums = lag_products(rows, cols, max_width, keys, chunk_rows)
-    joined = groups.join(sums, keys) if keys else attach(groups, sums)
+def _kernel_sums(rows, cols, add, kernel, keys, max_width, chunk_rows):
+    joined = add(lag_products(rows, cols, max_width, keys, chunk_rows))
     out = []
     for i, j in _pairs(cols):
         p = F.col(f"p_{i}_{j}")
@@ -158,7 +157,7 @@ def _kernel_sums(rows, cols, groups, kernel, keys, max_width, chunk_rows):
     return joined.select(*keys, "n_obs", "bandwidth", *out)
 
 
-def _long_bartlett(rows, cols, groups, keys, chunk_rows):
+def _long_bartlett(rows, cols, groups, add, keys, chunk_rows):
     """Bartlett as the sum of squared rolling sums, from running sums and one self-join."""
     spans = rows.select(*keys, "pos", *cols).withColumn("_c", chunk_of(chunk_rows=chunk_rows))
     totals = spans.groupBy(*keys, "_c").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
@@ -171,8 +170,7 @@ def _long_bartlett(rows, cols, groups, keys, chunk_rows):
         *keys, "pos", *[(F.col(f"_b{i}") + F.sum(c).over(inside)).alias(f"_r{i}") for i, c in enumerate(cols)])
     run = materialize(run)
     size = groups.select(*keys, "n_obs", "bandwidth", *(["n_rows"] if keys else []))
-    ahead = attach(run, materialize(size), keys,
-                   chunk_rows=chunk_rows)
+    ahead = attach(run, materialize(size) if keys else size, keys, chunk_rows=chunk_rows)
     r = [F.col(f"_r{i}") for i in range(len(cols))]
     shifted = ahead.select(*keys, (F.col("pos") + F.col("bandwidth") + 1).alias("pos"),
                            *[c.alias(f"_o{i}") for i, c in enumerate(r)])
@@ -184,16 +182,17 @@ def _long_bartlett(rows, cols, groups, keys, chunk_rows):
     both = body.select(*keys, *[(roll[i] * roll[j]).alias(n) for n, (i, j) in zip(names, _pairs(cols))]).unionByName(
         tail.select(*keys, *[(r[i] * r[j]).alias(n) for n, (i, j) in zip(names, _pairs(cols))]))
     sums = both.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
-    joined = groups.join(sums, keys) if keys else attach(groups, sums)
+    joined = add(sums)
     scale = (F.col("bandwidth") + 1.0) * (F.col("n_obs") - F.col("dof"))
     return joined.select(*keys, "n_obs", "bandwidth", *[
         (F.col(n) / scale).alias(f"lrv_{i}_{j}") for n, (i, j) in zip(names, _pairs(cols))])
 
 
-def _cosine_sums(rows, cols, groups, keys, chunk_rows):
+def _cosine_sums(rows, cols, groups, add, keys, chunk_rows):
     """Equal-weighted cosines: each task sums its rows times the cosines, one pass over the rows."""
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    small = materialize(groups.select(*keys, "n_obs", "bandwidth", *(["n_rows"] if keys else [])))
+    small = groups.select(*keys, "n_obs", "bandwidth", *(["n_rows"] if keys else []))
+    small = materialize(small) if keys else small
     data = attach(rows.select(*keys, "pos", *cols), small, keys, chunk_rows=chunk_rows)
     data = data.select(*keys, "pos", "n_obs", "bandwidth", *cols)
     d = len(cols)
@@ -234,7 +233,7 @@ def _cosine_sums(rows, cols, groups, keys, chunk_rows):
     each = parts.select(*keys, F.posexplode(zipped).alias("_j", "_l"))
     lams = each.groupBy(*keys, "_j").agg(*[F.sum(F.col("_l")[f"l{i}"]).alias(f"_l{i}") for i in range(d)])
     sums = lams.groupBy(*keys).agg(*[F.sum(F.col(f"_l{i}") * F.col(f"_l{j}")).alias(f"_v_{i}_{j}") for i, j in _pairs(cols)])
-    joined = groups.join(sums, keys) if keys else attach(groups, sums)
+    joined = add(sums)
     return joined.select(*keys, "n_obs", "bandwidth", *[
         (F.col(f"_v_{i}_{j}") / F.col("bandwidth")).alias(f"lrv_{i}_{j}") for i, j in _pairs(cols)])
 
@@ -247,12 +246,20 @@ def centred_lrv(rows: DataFrame, cols, groups: DataFrame, kernel: str, keys=(),
     """
     keys, cols = list(keys), list(cols)
     kernel = kernel_named(kernel)
+    needed = groups.select(*keys, "n_obs", "bandwidth", "dof")
+    if keys:
+        largest = (needed.agg(F.max("bandwidth")).first()[0] or 0) if kernel != "ewc" else 0
+        add = lambda sums: sums.join(needed, keys)
+    else:
+        row = needed.first()
+        largest = row["bandwidth"]
+        groups = groups.sparkSession.createDataFrame([row], needed.schema)
+        add = lambda sums: sums.withColumns({c: F.lit(row[c]) for c in needed.columns})
     if kernel == "ewc":
-        return _cosine_sums(rows, cols, groups, keys, chunk_rows)
-    largest = groups.agg(F.max("bandwidth")).first()[0] or 0
+        return _cosine_sums(rows, cols, groups, add, keys, chunk_rows)
     if kernel == "bartlett" and largest > lag_limit:
-        return _long_bartlett(rows, cols, groups, keys, chunk_rows)
-    return _kernel_sums(rows, cols, groups, kernel, keys, largest, chunk_rows)
+        return _long_bartlett(rows, cols, groups, add, keys, chunk_rows)
+    return _kernel_sums(rows, cols, add, kernel, keys, largest, chunk_rows)
 
 
 def lrv(df: DataFrame, cols, keys=(), kernel: str = "bartlett", bandwidth: Column | int | None = None,
@@ -266,8 +273,9 @@ def lrv(df: DataFrame, cols, keys=(), kernel: str = "bartlett", bandwidth: Colum
                                   *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(cols)])
     n = F.col("n_obs")
     width = default_bandwidth(kernel, n) if bandwidth is None else (F.lit(bandwidth) if isinstance(bandwidth, int) else bandwidth)
-    stats = materialize(stats.withColumn("bandwidth", clipped(kernel, width, n)).withColumn(
-        "dof", F.lit(dof) if isinstance(dof, int) else dof))
+    stats = stats.withColumn("bandwidth", clipped(kernel, width, n)).withColumn(
+        "dof", F.lit(dof) if isinstance(dof, int) else dof)
+    stats = materialize(stats)
     means = stats.select(*keys, *(["n_rows"] if keys else []), *[f"_m{i}" for i in range(len(cols))])
     rows = attach(df.select(*keys, "pos", *cols), means, keys, chunk_rows=chunk_rows)
     rows = rows.withColumns({c: F.col(c) - F.col(f"_m{i}") for i, c in enumerate(cols)})

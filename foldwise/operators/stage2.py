@@ -9,7 +9,7 @@ from foldwise.functions.dist import (
     critical_value, fixed_b_bartlett, normal_p_value, t_critical, t_p_value)
 from foldwise.operators.hac import (
     centred_lrv, clipped, default_bandwidth, first_autocorrelation, kernel_named, rule_bandwidth)
-from foldwise.operators.storage import CHUNK_ROWS, attach, materialize
+from foldwise.operators.storage import CHUNK_ROWS, attach, beside, literals, materialize
 from foldwise.plans.spec import Inference
 
 
@@ -66,8 +66,9 @@ def stage2_block(resid: DataFrame, spec: Inference = Inference(), by=(), chunk_r
         F.max("n_rows").alias("n_rows"), F.avg("coef").alias("coef"), F.sum("n_obs").alias("n_obs"),
         F.count(F.lit(1)).alias("n_blocks"), (F.sum("sum_xx") / F.sum("n_obs")).alias("jacobian"),
         F.sum(F.col("std_error") * F.col("std_error")).alias("_se2"), ordered.alias("_folds"))
-    arrays = [F.transform("_folds", lambda f: f["coef"]).alias("block_coefs"),
-              F.transform("_folds", lambda f: f["std_error"]).alias("block_ses")]
+    stats = stats.withColumn("block_coefs", F.transform("_folds", lambda f: f["coef"])).withColumn(
+        "block_ses", F.transform("_folds", lambda f: f["std_error"])).drop("_folds")
+    arrays = ["block_coefs", "block_ses"]
     if spec.se == "fold_average":
         plain = stats.select(*by, "coef", (F.sqrt("_se2") / F.col("n_blocks")).alias("std_error"), "n_obs", "n_blocks",
                              F.lit(None).cast("int").alias("bandwidth"), *arrays)
@@ -89,14 +90,14 @@ def stage2_block(resid: DataFrame, spec: Inference = Inference(), by=(), chunk_r
         width = F.col("h") + 1 if explicit else default_bandwidth(kernel, n)
     elif rule.startswith("andrews"):
         rho = materialize(first_autocorrelation(scores, "score", by, chunk_rows))
-        stats = stats.join(rho, by, "left") if by else attach(stats, rho)
+        stats = stats.join(rho, by, "left") if by else stats.withColumns(literals(rho))
         width = rule_bandwidth(rule, n, rho=F.col("rho"))
     else:
         width = rule_bandwidth(rule, n, F.col("h") if "h" in by else 0, spec.value)
     stats = stats.withColumn("asked", width.cast("int")).withColumn(
         "bandwidth", clipped(kernel, F.col("asked"), n)).withColumn("dof", F.col("n_blocks"))
     long_run = centred_lrv(scores, ["score"], stats, kernel, by, chunk_rows).select(*by, "lrv_0_0")
-    both = stats.join(long_run, by) if by else attach(stats, long_run)
+    both = beside(long_run, stats, by)
     # Rounding can leave a tiny negative variance where a kernel allows it.
     se = F.when(F.col("lrv_0_0") >= 0, F.sqrt(F.col("lrv_0_0") / (F.col("jacobian") * F.col("jacobian")) / n))
     out = both.select(*by, "coef", se.alias("std_error"), "n_obs", "n_blocks", "bandwidth", "asked", *arrays)
@@ -133,7 +134,7 @@ def stage2_full(resid: DataFrame, spec: Inference = Inference(), by=(), chunk_ro
         joined = attach(rows.select(*by, "pos", "chi", "xi"), line, by, chunk_rows=chunk_rows)
         scores = joined.select(*by, "pos", _slope_score().alias("score"))
         long_run = centred_lrv(scores, ["score"], fits, spec.kernel, by, chunk_rows).select(*by, "lrv_0_0")
-        fits = fits.join(long_run, by) if by else attach(fits, long_run)
+        fits = beside(long_run, fits, by)
         fits = fits.withColumn("std_error", F.sqrt(F.greatest(F.col("lrv_0_0"), F.lit(0.0)) * n) / F.col("spread"))
     else:
         fits = fits.withColumn("bandwidth", F.lit(None).cast("int"))
@@ -185,12 +186,12 @@ def _statistics(rows, fits, spec, by, extra, lag, chunk_rows):
         fits = materialize(fits.withColumn("bandwidth", clipped(spec.kernel, width, n)).withColumn("dof", F.lit(0)))
         start = F.col("_first") if extra else F.lit(0)
         firsts = rows.groupBy(*group).agg(F.min("pos").alias("_first"))
-        placed = fits.join(firsts, group) if group else attach(fits, firsts)
+        placed = beside(firsts, fits, group)
         line = placed.select(*group, *(["n_rows"] if by else []), "const", "coef", "_center", "_first")
         joined = attach(rows.select(*group, "pos", "chi", "xi"), line, by, extra, chunk_rows)
         scores = joined.select(*group, (F.col("pos") - start).alias("pos"), _slope_score().alias("score"))
         long_run = centred_lrv(scores, ["score"], fits, spec.kernel, group, chunk_rows).select(*group, "lrv_0_0")
-        fits = fits.join(long_run, group) if group else attach(fits, long_run)
+        fits = beside(long_run, fits, group)
         fits = fits.withColumn("std_error", F.sqrt(F.greatest(F.col("lrv_0_0"), F.lit(0.0)) * n) / F.col("spread"))
     fits = fits.withColumn("df", n - (2 if spec.intercept else 1))
     t = F.abs(F.try_divide(F.col("coef"), F.col("std_error")))

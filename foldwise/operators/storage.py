@@ -45,19 +45,18 @@ def chunk_of(pos: str = "pos", chunk_rows: int = CHUNK_ROWS):
 def attach(rows: DataFrame, small: DataFrame, keys=(), extra=(), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add per-group constants of ``small`` to ``rows``.
 
-    Without keys ``small`` holds one row (or one row per fold), so it is
-    broadcast.  With keys its size is unknown: Spark broadcasts it when its size
-    allows, and otherwise shuffles on ``(keys, chunk)``, so that a series holding
-    a third of all rows is still spread over many tasks.  ``small`` then needs
-    ``n_rows``, the length of its series.
+    Without keys ``small`` is one row, whose values become literals, or one row
+    per fold, which is broadcast.  With keys its size is unknown: Spark broadcasts
+    it when its size allows, and otherwise shuffles on ``(keys, chunk)``, so that a
+    series holding a third of all rows is still spread over many tasks.  ``small``
+    then needs ``n_rows``, the length of its series.
     """
     keys, extra = list(keys), list(extra)
     if not keys:
         small = small.drop(*[c for c in ("n_rows",) if c in small.columns and c in rows.columns])
         if extra:
-            return rows.join(F.broadcast(small), extra)
-        one = F.lit(1).alias("_one")
-        return rows.select("*", one).join(F.broadcast(small.select("*", one)), "_one").drop("_one")
+            return rows.join(F.broadcast(small), extra)  # one row per fold
+        return rows.withColumns(literals(small))
     last = F.floor((F.col("n_rows") - 1) / F.lit(chunk_rows))
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     if "n_rows" in rows.columns:
@@ -67,3 +66,14 @@ def attach(rows: DataFrame, small: DataFrame, keys=(), extra=(), chunk_rows: int
         .join(salted, [*keys, *extra, "_salt"])
         .drop("_salt")
     )
+
+
+def literals(small: DataFrame) -> dict:
+    """The columns of a one-row table as literals."""
+    row = small.first()
+    return {f.name: F.lit(None if row is None else row[f.name]).cast(f.dataType) for f in small.schema.fields}
+
+
+def beside(sums: DataFrame, groups: DataFrame, keys=()) -> DataFrame:
+    """Two tables with one row per key, side by side; ``groups`` is the cheaper one."""
+    return sums.join(groups, list(keys)) if keys else sums.withColumns(literals(groups))
