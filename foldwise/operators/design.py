@@ -20,16 +20,25 @@ def coded(name: str, code: int) -> str:
 
 def transform_all(series: DataFrame, codes: dict[str, int], time_col: str, keys=(), carry=(),
                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """``{name}_{code}`` for every series; ``series`` carries ``pos`` and ``n_rows``."""
+    """``{name}_{code}`` for every series; ``series`` carries ``pos`` and ``n_rows``.
+
+    A time that occurs twice in a key leaves the order open and fails the job.
+    """
     keys = list(keys)
     smooth = [n for n, c in codes.items() if c == TREND_CODE]
     plain = {n: c for n, c in codes.items() if c != TREND_CODE}
     back = max([ROWS_BACK[c] for c in plain.values() if c in ROWS_BACK], default=0)
+
+    def once(w):
+        again = F.lag(time_col).over(w) == F.col(time_col)
+        error = F.raise_error(F.concat(F.lit("the same time twice in a series: "), F.col(time_col).cast("string")))
+        return F.when(again, error.cast("boolean")).otherwise(F.lit(True)).alias("_once")
+
     out = ordered_select(
         series,
-        lambda w: [*keys, time_col, "pos", "n_rows", *carry,
+        lambda w: [*keys, time_col, "pos", "n_rows", *carry, once(w),
                    *[transformed(F.col(n).cast("double"), c, w).alias(coded(n, c)) for n, c in plain.items()]],
-        keys, before=back, chunk_rows=chunk_rows)
+        keys, before=max(back, 1), chunk_rows=chunk_rows).where("_once").drop("_once")
     for name in smooth:
         out = out.join(trend_ratio(series, name, coded(name, TREND_CODE), keys), [*keys, "pos"], "left")
     return out.select(*keys, time_col, "pos", "n_rows", *carry, *[coded(n, c) for n, c in codes.items()])
@@ -63,7 +72,7 @@ def scaled(df: DataFrame, columns, method: str, keys=(), minmax_range=(-1.0, 1.0
         for i, c in enumerate(columns):
             center, spread = makers[method](c)
             aggs += [center.alias(f"_c{i}"), spread.alias(f"_s{i}")]
-        stats = df.groupBy(*keys).agg(*([F.count(F.lit(1)).alias("n_rows")] if keys else []), *aggs)
+        stats = df.groupBy(*keys).agg(*([(F.max("pos") + 1).alias("n_rows")] if keys else []), *aggs)
     joined = attach(df, materialize(stats), keys)
     low, high = minmax_range if method == "minmax" else (0.0, 1.0)
     new = {}
@@ -74,13 +83,9 @@ def scaled(df: DataFrame, columns, method: str, keys=(), minmax_range=(-1.0, 1.0
 
 
 def _quartiles(df: DataFrame, columns, keys) -> DataFrame:
-    if "n_rows" in df.columns:
-        tall = df.select(*keys, *columns)
-    else:
-        tall = df
     values = F.explode(F.array(*[
         F.struct(F.lit(i).alias("_i"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)]))
-    tall = tall.select(*keys, values.alias("_e")).select(*keys, "_e._i", "_e._v")
+    tall = df.select(*keys, values.alias("_e")).select(*keys, "_e._i", "_e._v")
     q = exact_quantiles(tall, "_v", [0.25, 0.5, 0.75], [*keys, "_i"])
     picks = []
     for i in range(len(columns)):
@@ -89,7 +94,7 @@ def _quartiles(df: DataFrame, columns, keys) -> DataFrame:
                   F.max(F.when(mine, F.col("q75") - F.col("q25"))).alias(f"_s{i}")]
     stats = q.groupBy(*keys).agg(*picks)
     if keys:
-        stats = stats.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")), keys)
+        stats = stats.join(df.groupBy(*keys).agg((F.max("pos") + 1).alias("n_rows")), keys)
     return stats
 
 

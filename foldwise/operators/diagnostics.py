@@ -21,7 +21,7 @@ def edge_rows(resid: DataFrame, column: str, n_blocks: int, max_lag: int = 2, ke
     if max_lag < 1:
         raise ValueError("max_lag must be at least 1")
     keys, m = list(keys), max_lag
-    size = F.floor(F.col("n_rows") / n_blocks)
+    size = F.greatest(F.floor(F.col("n_rows") / n_blocks), F.lit(1))
     inside, last = F.col("pos") % size, F.floor(F.col("n_rows") / size) * size
     near = (inside < 2 * m) | (inside >= size - 2 * m) | (F.col("pos") >= last - 2 * m)
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("pos")
@@ -98,7 +98,7 @@ def ljung_box(resid: DataFrame, column: str, lags: int = 8, keys=(), chunk_rows:
     sums = lag_products(centred, ["_e"], lags, keys, chunk_rows)
     both = beside(sums, stats, keys)
     n, p = F.col("_n"), F.col("p_0_0")
-    term = lambda k: F.pow(F.try_divide(p[k], p[0]), F.lit(2.0)) / (n - k)
+    term = lambda k: F.pow(F.try_divide(p[k], p[0]), F.lit(2.0)) / F.greatest(n - k, F.lit(1))
     k = F.col("lag")
     each = both.select(*keys, "_n", "p_0_0", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"))
     total = F.aggregate(F.sequence(F.lit(1), k), F.lit(0.0), lambda s, j: s + term(j))

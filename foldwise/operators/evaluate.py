@@ -19,8 +19,8 @@ def evaluate(fits: DataFrame, truth: float | str, by=("design",)) -> DataFrame:
     covered = ((F.col("ci_lower") <= true) & (true <= F.col("ci_upper"))).cast("double")
     return fits.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_fits"),
-        (100 * F.avg(error) / F.avg(true)).alias("bias_pct"),
-        (100 * F.abs(F.avg(error)) / F.avg(true)).alias("abs_bias_pct"),
+        F.try_divide(100 * F.avg(error), F.avg(true)).alias("bias_pct"),
+        F.try_divide(100 * F.abs(F.avg(error)), F.avg(true)).alias("abs_bias_pct"),
         F.sqrt(F.avg(error * error)).alias("rmse"), (100 * F.avg(covered)).alias("coverage_pct"))
 
 

@@ -153,7 +153,7 @@ def _kernel_sums(rows, cols, add, kernel, keys, max_width, chunk_rows):
         tail = F.aggregate(F.sequence(F.lit(1), F.col("bandwidth")), F.lit(0.0),
                            lambda s, l: s + weight(kernel, l, F.col("bandwidth")) * p[l] * (2.0 if i == j else 1.0))
         value = base + F.when(F.col("bandwidth") >= 1, tail).otherwise(0.0)
-        out.append((value / (F.col("n_obs") - F.col("dof"))).alias(f"lrv_{i}_{j}"))
+        out.append(F.try_divide(value, F.col("n_obs") - F.col("dof")).alias(f"lrv_{i}_{j}"))
     return joined.select(*keys, "n_obs", "bandwidth", *out)
 
 
@@ -185,7 +185,7 @@ def _long_bartlett(rows, cols, groups, add, keys, chunk_rows):
     joined = add(sums)
     scale = (F.col("bandwidth") + 1.0) * (F.col("n_obs") - F.col("dof"))
     return joined.select(*keys, "n_obs", "bandwidth", *[
-        (F.col(n) / scale).alias(f"lrv_{i}_{j}") for n, (i, j) in zip(names, _pairs(cols))])
+        F.try_divide(F.col(n), scale).alias(f"lrv_{i}_{j}") for n, (i, j) in zip(names, _pairs(cols))])
 
 
 def _cosine_sums(rows, cols, groups, add, keys, chunk_rows):

@@ -8,6 +8,9 @@ the few rows near the end of each chunk into its neighbour, so that a window by
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +63,8 @@ def _with_offsets(rows, pieces, keys, part, inside: Column) -> DataFrame:
 
 def with_blocks(df: DataFrame, n_blocks: int) -> DataFrame:
     """``block_id`` of ``n_blocks`` equal blocks; NULL for the left-over tail."""
-    block = F.floor(F.col("pos") / F.floor(F.col("n_rows") / F.lit(n_blocks))).cast("int")
+    size = F.floor(F.col("n_rows") / F.lit(n_blocks))  # 0 in a key that is too short: no blocks
+    block = F.floor(F.try_divide(F.col("pos"), size)).cast("int")
     return df.withColumn("block_id", F.when(block < n_blocks, block))
 
 
@@ -93,10 +97,10 @@ def ordered_select(df: DataFrame, columns, keys=(), before: int = 0, after: int
 
 
 def check_times(df: DataFrame, time_col: str, keys=()) -> DataFrame:
-    """Times that occur twice in a key, or are missing: the order is then undefined."""
+    """Times that occur twice in a key, and missing times or keys: the order is then undefined."""
     return (
         df.groupBy(*keys, time_col).agg(F.count(F.lit(1)).alias("n_seen"))
-        .where((F.col("n_seen") > 1) | F.col(time_col).isNull())
+        .where((F.col("n_seen") > 1) | reduce(or_, [F.col(c).isNull() for c in [*keys, time_col]]))
     )
 
 

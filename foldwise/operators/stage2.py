@@ -41,7 +41,7 @@ def with_inference(df: DataFrame, level: float, intercept: bool, crit: Column |
     se, n = F.col("std_error"), F.col("n_obs")
     normal = critical_value(level, n)
     df = df.withColumn("_crit", normal if crit is None else F.coalesce(crit, normal))
-    df = df.withColumn("t_stat", F.when(se > 1e-10, F.abs(F.col("coef") / se)).otherwise(0.0))
+    df = df.withColumn("t_stat", F.when(se > 1e-10, F.abs(F.try_divide(F.col("coef"), se))).otherwise(0.0))
     df = df.withColumn("p_value", t_p_value(F.col("t_stat"), n - (2 if intercept else 1)))
     return (df.withColumn("ci_lower", F.col("coef") - F.col("_crit") * se)
             .withColumn("ci_upper", F.col("coef") + F.col("_crit") * se).drop("_crit"))
@@ -99,7 +99,7 @@ def stage2_block(resid: DataFrame, spec: Inference = Inference(), by=(), chunk_r
     long_run = centred_lrv(scores, ["score"], stats, kernel, by, chunk_rows).select(*by, "lrv_0_0")
     both = beside(long_run, stats, by)
     # Rounding can leave a tiny negative variance where a kernel allows it.
-    se = F.when(F.col("lrv_0_0") >= 0, F.sqrt(F.col("lrv_0_0") / (F.col("jacobian") * F.col("jacobian")) / n))
+    se = F.when(F.col("lrv_0_0") >= 0, F.sqrt(F.try_divide(F.col("lrv_0_0"), F.col("jacobian") * F.col("jacobian") * n)))
     out = both.select(*by, "coef", se.alias("std_error"), "n_obs", "n_blocks", "bandwidth", "asked", *arrays)
     crit = None
     if spec.fixed_b and kernel == "ewc":
@@ -135,7 +135,7 @@ def stage2_full(resid: DataFrame, spec: Inference = Inference(), by=(), chunk_ro
         scores = joined.select(*by, "pos", _slope_score().alias("score"))
         long_run = centred_lrv(scores, ["score"], fits, spec.kernel, by, chunk_rows).select(*by, "lrv_0_0")
         fits = beside(long_run, fits, by)
-        fits = fits.withColumn("std_error", F.sqrt(F.greatest(F.col("lrv_0_0"), F.lit(0.0)) * n) / F.col("spread"))
+        fits = fits.withColumn("std_error", F.try_divide(F.sqrt(F.greatest(F.col("lrv_0_0"), F.lit(0.0)) * n), F.col("spread")))
     else:
         fits = fits.withColumn("bandwidth", F.lit(None).cast("int"))
     out = fits.select(*by, "coef", "std_error", "n_obs", F.lit(None).cast("bigint").alias("n_blocks"), "bandwidth",
@@ -192,7 +192,7 @@ def _statistics(rows, fits, spec, by, extra, lag, chunk_rows):
         scores = joined.select(*group, (F.col("pos") - start).alias("pos"), _slope_score().alias("score"))
         long_run = centred_lrv(scores, ["score"], fits, spec.kernel, group, chunk_rows).select(*group, "lrv_0_0")
         fits = beside(long_run, fits, group)
-        fits = fits.withColumn("std_error", F.sqrt(F.greatest(F.col("lrv_0_0"), F.lit(0.0)) * n) / F.col("spread"))
+        fits = fits.withColumn("std_error", F.try_divide(F.sqrt(F.greatest(F.col("lrv_0_0"), F.lit(0.0)) * n), F.col("spread")))
     fits = fits.withColumn("df", n - (2 if spec.intercept else 1))
     t = F.abs(F.try_divide(F.col("coef"), F.col("std_error")))
     normal = robust and kernel_named(spec.kernel) == "bartlett"
