@@ -152,9 +152,12 @@ def stage2(resid: DataFrame, spec: Inference = Inference(), by=(), chunk_rows: i
     raise ValueError(f"unknown estimation method {spec.method!r}; known: block, full")
 
 
-def block_statistics(resid: DataFrame, spec: Inference = Inference(), by=(), lag: int | None = None,
+def block_statistics(resid: DataFrame, spec: Inference = Inference(), by=(), lag: int | Column | None = None,
                      chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Descriptive least squares per fold.  ``lag`` asks for a robust error with that bandwidth.
+    """Descriptive least squares per fold.
+
+    ``lag`` asks for a robust error with that bandwidth; by horizon it may be
+    ``F.col("h") + 1``.
 
     Folds with one row, or a policy residual without spread, give coefficient 0
     and NULL statistics.  p-values are normal for the Bartlett error, t otherwise.
@@ -166,7 +169,7 @@ def block_statistics(resid: DataFrame, spec: Inference = Inference(), by=(), lag
     return _statistics(rows, fits, spec, by, ["block_id"], lag, chunk_rows)
 
 
-def full_statistics(resid: DataFrame, spec: Inference = Inference(), by=(), lag: int | None = None,
+def full_statistics(resid: DataFrame, spec: Inference = Inference(), by=(), lag: int | Column | None = None,
                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The same over all rows."""
     by = list(by)
@@ -182,7 +185,7 @@ def _statistics(rows, fits, spec, by, extra, lag, chunk_rows):
     fits = fits.withColumn("_ok", (n > 1) & (F.col("var_xi") > 1e-10))
     robust = spec.hac and lag is not None
     if robust:
-        width = F.lit(max(1, int(lag)))
+        width = F.greatest(lag if isinstance(lag, Column) else F.lit(int(lag)), F.lit(1))
         fits = materialize(fits.withColumn("bandwidth", clipped(spec.kernel, width, n)).withColumn("dof", F.lit(0)))
         start = F.col("_first") if extra else F.lit(0)
         firsts = rows.groupBy(*group).agg(F.min("pos").alias("_first"))

@@ -16,6 +16,7 @@ from foldwise.operators.diagnostics import boundary_leakage, diagnose, joint_f,
 from foldwise.operators.evaluate import evaluate
 from foldwise.operators.projections import cumulate, local_projections, scale_irfs
 from foldwise.operators.reports import compare_estimates, irf_report
+from foldwise.operators.stage2 import block_statistics, stage2
 from foldwise.plans.pipelines import static_effect
 from foldwise.plans.spec import Inference
 from foldwise.sources.frames import write_irf
@@ -190,3 +191,18 @@ def test_diagnose_both_equations(spark):
     assert {r["equation"] for r in got["leakage"].collect()} == {"policy", "outcome"}
     assert got["ljung_box"].count() == 6
     assert R.blocks(10, 3)[9] == -1
+
+
+def test_block_statistics_by_horizon(spark):
+    x, y, d = arrays(120, 3)
+    tall = by_horizon(sample(spark, x, y, d, 6).residuals())
+    got = block_statistics(tall, by=["h"], lag=F.col("h") + 1).toPandas()
+    one = block_statistics(tall.drop("h"), lag=1).toPandas()
+    assert len(got) == 6 and np.allclose(got.sort_values("block_id")["std_error"], one.sort_values("block_id")["std_error"])
+
+
+def test_cosine_critical_value(spark):
+    x, y, d = arrays(120, 3)
+    resid = sample(spark, x, y, d, 6).residuals().withColumnRenamed("chi0", "chi")
+    got = stage2(resid, Inference(kernel="ewc", rule="fixed", value=10, fixed_b=True)).first()
+    assert abs((got["ci_upper"] - got["coef"]) / got["std_error"] - 2.2281389) < 1e-5
