@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.transforms import ROWS_BACK, TREND_CODE, transformed
 from foldwise.operators.position import add_position, exact_quantiles, ordered_select, reposition, with_blocks
-from foldwise.operators.storage import CHUNK_ROWS, attach, materialize
+from foldwise.operators.storage import CHUNK_ROWS, attach, materialize, pinned
 from foldwise.operators.trend import trend_ratio
 from foldwise.plans.spec import Design
 
@@ -73,7 +73,7 @@ def scaled(df: DataFrame, columns, method: str, keys=(), minmax_range=(-1.0, 1.0
             center, spread = makers[method](c)
             aggs += [center.alias(f"_c{i}"), spread.alias(f"_s{i}")]
         stats = df.groupBy(*keys).agg(*([(F.max("pos") + 1).alias("n_rows")] if keys else []), *aggs)
-    joined = attach(df, materialize(stats), keys)
+    joined = attach(df, pinned(stats, keys), keys)
     low, high = minmax_range if method == "minmax" else (0.0, 1.0)
     new = {}
     for i, c in enumerate(columns):
@@ -158,7 +158,7 @@ def final_sample(rows: DataFrame, n_blocks: int, keys=(), chunk_rows: int = CHUN
     a single series that short is an error.
     """
     keys = list(keys)
-    spans = materialize(sample_status(rows, n_blocks, keys))
+    spans = pinned(sample_status(rows, n_blocks, keys), keys)
     if not keys:
         status, n = spans.select("status", "n_kept").first()
         if status != "ok":
@@ -170,7 +170,8 @@ def final_sample(rows: DataFrame, n_blocks: int, keys=(), chunk_rows: int = CHUN
     kept = (attach(rows, ends, keys, chunk_rows=chunk_rows)
             .withColumns({"pos": new, "n_rows": F.col("_kept")})
             .where("pos < n_rows").drop("_first", "_kept"))
-    return materialize(with_blocks(kept, n_blocks))
+    final = with_blocks(kept, n_blocks)
+    return materialize(final) if keys else final  # without keys only arithmetic on the written rows
 
 
 def sample_status(rows: DataFrame, n_blocks: int, keys=()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.dist import beta_tail, chi2_p_value
 from foldwise.operators.hac import lag_products
-from foldwise.operators.storage import CHUNK_ROWS, attach, beside, materialize
+from foldwise.operators.storage import CHUNK_ROWS, attach, beside, pinned
 
 
 def edge_rows(resid: DataFrame, column: str, n_blocks: int, max_lag: int = 2, keys=(), controls=()) -> DataFrame:
@@ -91,8 +91,8 @@ def ljung_box(resid: DataFrame, column: str, lags: int = 8, keys=(), chunk_rows:
     """``keys, lag, lb_stat, lb_pvalue`` for lags 1..``lags``."""
     keys = list(keys)
     rows = resid.where(F.col(column).isNotNull())
-    stats = materialize(rows.groupBy(*keys).agg(
-        F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("_n"), F.avg(column).alias("_m")))
+    stats = pinned(rows.groupBy(*keys).agg(
+        F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("_n"), F.avg(column).alias("_m")), keys)
     centred = attach(rows.select(*keys, "pos", column), stats, keys, chunk_rows=chunk_rows).select(
         *keys, "pos", (F.col(column) - F.col("_m")).alias("_e"))
     sums = lag_products(centred, ["_e"], lags, keys, chunk_rows)

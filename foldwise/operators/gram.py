@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.storage import CHUNK_ROWS, attach, beside, materialize
+from foldwise.operators.storage import CHUNK_ROWS, attach, beside, materialize, pinned
 
 #: Above this many product sums they are formed in numpy, a batch at a time.
 MAX_SUM_COLUMNS = 150
@@ -36,7 +36,7 @@ def block_gram(design: DataFrame, z_cols, keys=(), chunk_rows: int = CHUNK_ROWS)
     """``keys, block_id, n_rows, anchor, g``; ``g`` is the upper triangle by rows of
     ``sum([1, z - anchor] [1, z - anchor]')``."""
     keys, z_cols = list(keys), list(z_cols)
-    shift = materialize(anchors(design, z_cols, keys))
+    shift = pinned(anchors(design, z_cols, keys), keys)
     rows = attach(design.where(F.col("block_id").isNotNull()).select(*keys, "pos", "n_rows", "block_id", *z_cols),
                   shift, keys, chunk_rows=chunk_rows)
     z = [F.lit(1.0), *[F.col(c) - F.col("anchor")[i] for i, c in enumerate(z_cols)]]

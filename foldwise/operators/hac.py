@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.operators.position import chunk_window, halo
-from foldwise.operators.storage import CHUNK_ROWS, attach, beside, chunk_of, materialize
+from foldwise.operators.storage import CHUNK_ROWS, attach, beside, chunk_of, materialize, pinned
 
 # Accepted names of the kernels.
 KERNELS = {
@@ -192,7 +192,7 @@ def _cosine_sums(rows, cols, groups, add, keys, chunk_rows):
     """Equal-weighted cosines: each task sums its rows times the cosines, one pass over the rows."""
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     small = groups.select(*keys, "n_obs", "bandwidth", *(["n_rows"] if keys else []))
-    small = materialize(small) if keys else small
+    small = materialize(small) if keys else small  # already pinned
     data = attach(rows.select(*keys, "pos", *cols), small, keys, chunk_rows=chunk_rows)
     data = data.select(*keys, "pos", "n_obs", "bandwidth", *cols)
     d = len(cols)
@@ -275,7 +275,7 @@ def lrv(df: DataFrame, cols, keys=(), kernel: str = "bartlett", bandwidth: Colum
     width = default_bandwidth(kernel, n) if bandwidth is None else (F.lit(bandwidth) if isinstance(bandwidth, int) else bandwidth)
     stats = stats.withColumn("bandwidth", clipped(kernel, width, n)).withColumn(
         "dof", F.lit(dof) if isinstance(dof, int) else dof)
-    stats = materialize(stats)
+    stats = pinned(stats, keys)
     means = stats.select(*keys, *(["n_rows"] if keys else []), *[f"_m{i}" for i in range(len(cols))])
     rows = attach(df.select(*keys, "pos", *cols), means, keys, chunk_rows=chunk_rows)
     rows = rows.withColumns({c: F.col(c) - F.col(f"_m{i}") for i, c in enumerate(cols)})

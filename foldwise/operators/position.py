@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.operators.storage import CHUNK_ROWS, attach, chunk_of, materialize
+from foldwise.operators.storage import CHUNK_ROWS, attach, chunk_of, materialize, pinned
 
 
 def add_position(df: DataFrame, time_col: str, keys=(), n_blocks: int | None = None) -> DataFrame:
@@ -28,7 +28,8 @@ def add_position(df: DataFrame, time_col: str, keys=(), n_blocks: int | None = N
         .withColumn("_seq", F.monotonically_increasing_id())
     )
     pieces = stored.groupBy(*keys, "_part").agg(F.min("_seq").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    out = _with_offsets(stored, pieces, keys, "_part", F.col("_seq") - F.col("_first"))
+    # Without keys there is one piece per partition, which is safe to broadcast.
+    out = _with_offsets(stored, pieces, keys, F.col("_seq") - F.col("_first"), bounded=not keys)
     out = out.drop("_part", "_seq", "_first", "_rows")
     return with_blocks(out, n_blocks) if n_blocks else out
 
@@ -43,19 +44,19 @@ def reposition(df: DataFrame, keys=(), chunk_rows: int = CHUNK_ROWS) -> DataFram
     pieces = base.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("old_pos")) - 1
     numbered = base.withColumn("_inside", inside)
-    return _with_offsets(numbered, pieces, keys, "_part", F.col("_inside")).drop("_part", "_inside", "_rows")
+    return _with_offsets(numbered, pieces, keys, F.col("_inside")).drop("_part", "_inside", "_rows")
 
 
-def _with_offsets(rows, pieces, keys, part, inside: Column) -> DataFrame:
-    # One row per key and partition touched: running counts over this table only.
+def _with_offsets(rows, pieces, keys, inside: Column, bounded: bool = False) -> DataFrame:
+    # One row per key and part: running counts over this table only.
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(
         pieces.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .withColumn("n_rows", F.sum("_rows").over(group))
     )
     return (
-        rows.join(offsets, [*keys, part])
+        rows.join(F.broadcast(offsets) if bounded else offsets, [*keys, "_part"])
         .withColumn("pos", (F.col("_before") + inside).cast("long"))
         .drop("_before")
     )
@@ -140,6 +141,6 @@ def calendar_gaps(df: DataFrame, time_col: str, keys=(), factor: float = 1.75,
     if keys:
         lengths = steps.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"))
         typical = typical.join(lengths, keys)
-    return attach(steps, materialize(typical), keys, chunk_rows=chunk_rows).where(
+    return attach(steps, pinned(typical, keys), keys, chunk_rows=chunk_rows).where(
         (F.col("median_days") > 0) & (F.col("step_days") > factor * F.col("median_days"))
     ).select(*keys, "gap_from", "gap_to", "step_days", "median_days")

@@ -9,7 +9,7 @@ from foldwise.functions.dist import (
     critical_value, fixed_b_bartlett, normal_p_value, t_critical, t_p_value)
 from foldwise.operators.hac import (
     centred_lrv, clipped, default_bandwidth, first_autocorrelation, kernel_named, rule_bandwidth)
-from foldwise.operators.storage import CHUNK_ROWS, attach, beside, literals, materialize
+from foldwise.operators.storage import CHUNK_ROWS, attach, beside, literals, materialize, pinned
 from foldwise.plans.spec import Inference
 
 
@@ -89,7 +89,7 @@ def stage2_block(resid: DataFrame, spec: Inference = Inference(), by=(), chunk_r
         explicit = "h" in by
         width = F.col("h") + 1 if explicit else default_bandwidth(kernel, n)
     elif rule.startswith("andrews"):
-        rho = materialize(first_autocorrelation(scores, "score", by, chunk_rows))
+        rho = pinned(first_autocorrelation(scores, "score", by, chunk_rows), by)
         stats = stats.join(rho, by, "left") if by else stats.withColumns(literals(rho))
         width = rule_bandwidth(rule, n, rho=F.col("rho"))
     else:
@@ -129,7 +129,7 @@ def stage2_full(resid: DataFrame, spec: Inference = Inference(), by=(), chunk_ro
     n = F.col("n_obs")
     if spec.hac:
         width = rule_bandwidth(spec.rule, n, F.col("h") if "h" in by else 0, spec.value)
-        fits = materialize(fits.withColumn("bandwidth", clipped(spec.kernel, width, n)).withColumn("dof", F.lit(0)))
+        fits = pinned(fits.withColumn("bandwidth", clipped(spec.kernel, width, n)).withColumn("dof", F.lit(0)), by)
         line = fits.select(*by, *(["n_rows"] if by else []), "const", "coef", "_center")
         joined = attach(rows.select(*by, "pos", "chi", "xi"), line, by, chunk_rows=chunk_rows)
         scores = joined.select(*by, "pos", _slope_score().alias("score"))
@@ -186,7 +186,7 @@ def _statistics(rows, fits, spec, by, extra, lag, chunk_rows):
     robust = spec.hac and lag is not None
     if robust:
         width = F.greatest(lag if isinstance(lag, Column) else F.lit(int(lag)), F.lit(1))
-        fits = materialize(fits.withColumn("bandwidth", clipped(spec.kernel, width, n)).withColumn("dof", F.lit(0)))
+        fits = pinned(fits.withColumn("bandwidth", clipped(spec.kernel, width, n)).withColumn("dof", F.lit(0)), group)
         start = F.col("_first") if extra else F.lit(0)
         firsts = rows.groupBy(*group).agg(F.min("pos").alias("_first"))
         placed = beside(firsts, fits, group)

@@ -38,6 +38,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pinned(groups: DataFrame, keys=()) -> DataFrame:
+    """A small table computed once: one row without keys, written out with keys."""
+    if keys:
+        return materialize(groups)
+    row = groups.first()
+    return groups.sparkSession.createDataFrame([] if row is None else [row], groups.schema)
+
+
 def chunk_of(pos: str = "pos", chunk_rows: int = CHUNK_ROWS):
     return F.floor(F.col(pos) / F.lit(chunk_rows))
 

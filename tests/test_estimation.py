@@ -16,7 +16,7 @@ from foldwise.operators.position import add_position
 from foldwise.operators.stage2 import block_statistics, stage2
 from foldwise.operators.tuning import (
     custom_profile, error_profile, expand_grid, failed_curves, least_error_select, rule_named, stability_curve, stability_select)
-from foldwise.plans.pipelines import Sample, static_effect, tuned_effect
+from foldwise.plans.analyses import Sample, static_effect, tuned_effect
 from foldwise.plans.spec import Inference, Learner
 
 

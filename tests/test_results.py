@@ -17,7 +17,7 @@ from foldwise.operators.evaluate import evaluate
 from foldwise.operators.projections import cumulate, local_projections, scale_irfs
 from foldwise.operators.reports import compare_estimates, irf_report
 from foldwise.operators.stage2 import block_statistics, stage2
-from foldwise.plans.pipelines import static_effect
+from foldwise.plans.analyses import static_effect
 from foldwise.plans.spec import Inference
 from foldwise.sources.frames import write_irf
 

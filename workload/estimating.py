@@ -16,7 +16,7 @@ from foldwise.operators.stage2 import block_statistics, fold_fits, full_statisti
 from foldwise.operators.storage import attach, materialize
 from foldwise.operators.tuning import (
     custom_profile, error_profile, least_error_select, selected_params, stability_select)
-from foldwise.plans.pipelines import Sample, static_effect, tuned_effect
+from foldwise.plans.analyses import Sample, static_effect, tuned_effect
 from foldwise.plans.spec import Design, Inference, Learner
 from workload import series, sql
 from workload.registry import query, rnd

@@ -10,7 +10,7 @@ from foldwise.operators.diagnostics import boundary_leakage, by_equation, diagno
 from foldwise.operators.projections import cumulate, local_projections, residual_table, scale_irfs
 from foldwise.operators.reports import compare_estimates, curve_report, irf_report, overlay, tuning_report
 from foldwise.operators.storage import materialize, shared_folder
-from foldwise.plans.pipelines import impulse_response, static_effect
+from foldwise.plans.analyses import impulse_response, static_effect
 from foldwise.plans.spec import Inference, Learner
 from foldwise.sources.frames import write_irf
 from workload import sql
