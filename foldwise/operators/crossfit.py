@@ -63,9 +63,9 @@ def fold_tasks(gram: DataFrame, plan, keys=(), extra=()) -> DataFrame:
                           F.transform("_b", lambda b: b["g"]).alias("grams"), folds.alias("fold"), *extra)
 
 
-def spread(tasks: DataFrame, *cols) -> DataFrame:
-    # Few bytes, much arithmetic: keep one task per core instead of merging.
-    return tasks.repartition(max(tasks.sparkSession.sparkContext.defaultParallelism, 1), *cols)
+def spread(tasks: DataFrame) -> DataFrame:
+    # Few bytes, much arithmetic: an even share per core instead of merged partitions.
+    return tasks.repartition(max(tasks.sparkSession.sparkContext.defaultParallelism, 1))
 
 
 def added(block_ids, grams, wanted, width: int) -> np.ndarray:
@@ -127,7 +127,7 @@ def nuisance(gram: DataFrame, learners: DataFrame, n_features: int, horizons: in
     types = {f.name: f.dataType.simpleString() for f in gram.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "block_id int", "n_rows bigint",
                         "policy_coef array<double>", "outcome_coef array<array<double>>"])
-    return spread(tasks, *keys, "fold").mapInPandas(solve, schema)
+    return spread(tasks).mapInPandas(solve, schema)
 
 
 def with_features(rows: DataFrame, features, equations: int) -> DataFrame:

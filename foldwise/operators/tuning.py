@@ -104,8 +104,7 @@ def error_profile(gram: DataFrame, outcome_grid, policy_grid, n_features: int, h
         *[f"`{k}` {types[k]}" for k in keys], "fold int", "equation string", "grid_idx int", "kind string",
         "penalty double", "l1_share double", "rmse double", "n_train bigint", "n_val bigint", "n_rows bigint",
         *(["coef array<double>"] if return_coef else [])])
-    out = spread(tasks, *keys, "fold", "equation").mapInPandas(score, schema)
-    return out
+    return spread(tasks).mapInPandas(score, schema)
 
 
 def custom_profile(design: DataFrame, gram: DataFrame, outcome_grid, policy_grid, features, metric, n_blocks: int,

@@ -6,14 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from foldwise.operators.design import build_design, feature_names
 from foldwise.operators.diagnostics import boundary_leakage, by_equation, diagnose, edge_rows, ljung_box
 from foldwise.operators.projections import cumulate, local_projections, residual_table, scale_irfs
 from foldwise.operators.reports import compare_estimates, curve_report, irf_report, overlay, tuning_report
 from foldwise.operators.storage import materialize, shared_folder
-from foldwise.plans.analyses import impulse_response, static_effect
-from foldwise.plans.spec import Inference, Learner
+from foldwise.plans.analyses import Sample, impulse_response, static_effect
+from foldwise.plans.spec import Design, Inference, Learner
 from foldwise.sources.frames import write_irf
-from workload import sql
+from workload import series, sql
 from workload.estimating import (
     _LASSO_GRID, _TARGETS, _profile_sql, event_rows, event_sample, penalties, raw_residuals, wide_weekly)
 from workload.registry import query, rnd
@@ -276,3 +277,21 @@ def tuned_irf(spark, sf_dir):
     gram = sample.gram()
     tuned, _ = sample.tune([("lasso", {"penalty": penalties(1e-4, 1.0, 100)})], [("lasso", {"penalty": penalties(1e-6, 1e-3, 100)})], gram=gram)
     return _irf_out(impulse_response(sample, code=5, learners=tuned), digits=6)
+
+
+_OUTCOMES = ("revenue", "qty", "n_lines", "n_returned", "avg_tax")
+
+
+@query("tuned_irf_five_outcomes")
+def tuned_irf_outcomes(spark, sf_dir):
+    """Five outcomes as one panel: tuning, nine horizons and scaling without a loop over outcomes."""
+    weekly = series.sales(spark, sf_dir)
+    each = F.explode(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("target")) for o in _OUTCOMES]))
+    rows = weekly.select("*", each.alias("_e")).select("ts", "qty", "revenue", "avg_disc", "avg_tax", "n_lines", "_e.*")
+    codes = {"target": 5, "avg_disc": 2, "n_lines": 5, "avg_tax": 1, "qty": 5, "revenue": 5}
+    spec = Design("ts", "target", "avg_disc", codes, fast=("n_lines", "avg_tax"), keys=("outcome",), lags=6, horizons=8)
+    sample = Sample(build_design(rows, spec), tuple(feature_names(spec)), 6, ("outcome",))
+    gram = sample.gram()
+    tuned, _ = sample.tune([("lasso", {"penalty": penalties(1e-4, 1.0, 100)})], [("lasso", {"penalty": penalties(1e-6, 1e-3, 100)})], gram=gram)
+    irf = materialize(impulse_response(sample, code=5, learners=tuned))
+    return _irf_out(scale_irfs(irf, "revenue", "qty", ["avg_tax"], 0.5), "outcome", digits=5)
