@@ -27,14 +27,16 @@ WEEKLY_SPEEDS = {"revenue": "slow", "avg_disc": "slow", "n_lines": "fast", "avg_
 @query("read_metadata_wide", f"""WITH w AS ({sql.sales()}), t AS (
   SELECT ts, unnest(['revenue', 'avg_disc', 'n_lines', 'avg_tax']) AS series, unnest(['slow', 'slow', 'fast', 'fast']) AS speed,
     unnest([5, 2, 5, 1])::INT AS tcode, unnest([revenue, avg_disc, n_lines, avg_tax]) AS value FROM w)
-  SELECT {sql.DAY}, series, speed, tcode, round(value, 4) AS value FROM t""")
+  SELECT {sql.DAY}, series, speed, tcode, CASE WHEN series LIKE 'avg%' THEN round(value, 10) ELSE round(value, 4) END AS value FROM t""")
 def read_wide(spark, sf_dir):
     weekly = series.sales(spark, sf_dir)
     path = f"{shared_folder(spark)}/wide-{uuid.uuid4().hex}"
     wide_with_metadata(weekly, WEEKLY_SPEEDS, WEEKLY_CODES).write.csv(path, header=True)
     meta, obs = read_metadata_wide(spark, path)
     tall = obs.unpivot(["ts"], list(WEEKLY_SPEEDS), "series", "value")
-    return tall.join(F.broadcast(meta), "series").select(day(), "series", "speed", "tcode", rnd("value", 4))
+    return tall.join(F.broadcast(meta), "series").select(
+        day(), "series", "speed", "tcode",
+        F.when(F.col("series").like("avg%"), F.round("value", 10)).otherwise(F.round("value", 4)).alias("value"))
 
 
 @query("event_positions", f"""WITH p AS ({sql.blocked(sql.numbered(sql.EVENTS, 'event_id'), 7)})
@@ -127,7 +129,7 @@ def trend_ratio_events(spark, sf_dir):
 
 
 def _design_sql(source: str, codes: dict, y: str, d: str, fast, lags: int, horizons: int, k: int, where: str = "true",
-                remove=(), key: str = "", scale: str | None = None) -> str:
+                remove=(), key: str = "", scale: str | None = None, exact: bool = False) -> str:
     part, lead = (f"PARTITION BY {key} ", f"{key}, ") if key else ("", "")
     w = f"OVER ({part}ORDER BY ts)"
 
@@ -142,7 +144,8 @@ def _design_sql(source: str, codes: dict, y: str, d: str, fast, lags: int, horiz
     cols = ["cons", *same, *[f"lag{i}_{c}" for i in range(1, lags + 1) for c in kept], *[f"lead{h}" for h in range(horizons + 1)]]
     if scale:
         cols = [scale.format(c=c) + f" AS {c}" if c.startswith("lag") or c in same else c for c in cols]
-    out = ", ".join(f"round({c}, 6) AS {c}" for c in ["y", "d", *[c.split(" AS ")[-1] for c in cols]])
+    values = ["y", "d", *[c.split(" AS ")[-1] for c in cols]]
+    out = ", ".join(values if exact else [f"round({c}, 6) AS {c}" for c in values])
     return f"""WITH raw AS ({source}),
       t AS (SELECT {lead}ts, {', '.join(f'{code(n, c)} AS {names[n]}' for n, c in codes.items())} FROM raw),
       c AS (SELECT * FROM t WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names.values())}),
@@ -342,11 +345,11 @@ def _wide_spec():
     return Design("ts", "revenue", "avg_disc", codes, fast=("n_lines",), lags=4, horizons=0)
 
 
-_WIDE = _design_sql(sql.sales(), _wide_spec().codes, "revenue", "avg_disc", ["n_lines"], 4, 0, 6)
+_WIDE = _design_sql(sql.sales(), _wide_spec().codes, "revenue", "avg_disc", ["n_lines"], 4, 0, 6, exact=True)
 
 
-@query("block_products_wide", f"""SELECT block_id, count(*) AS n, round(covar_pop(n_lines_5, lag4_n_returned_2) * count(*), 1) AS s_first_last,
-  round(covar_pop(d, y) * count(*), 3) AS s_policy_outcome FROM ({_WIDE}) GROUP BY 1""")
+@query("block_products_wide", f"""SELECT block_id, count(*) AS n, round(covar_pop(n_lines_5, lag4_n_returned_2) * count(*), 5) AS s_first_last,
+  round(covar_pop(d, y) * count(*), 7) AS s_policy_outcome FROM ({_WIDE}) GROUP BY 1""")
 def block_products_wide(spark, sf_dir):
     """The same sums for many columns, formed batch-wise in numpy."""
     spec = _wide_spec()
@@ -358,5 +361,5 @@ def block_products_wide(spark, sf_dir):
     g = lambda i, j: F.col("g")[int(place[i, j])]
     s = lambda i, j: g(i, j) - g(0, i) * g(0, j) / g(0, 0)
     first, last = features.index("n_lines_5") + 1, len(features)
-    return gram.select("block_id", g(0, 0).cast("long").alias("n"), F.round(s(first, last), 1).alias("s_first_last"),
-                       F.round(s(width - 2, width - 1), 3).alias("s_policy_outcome"))
+    return gram.select("block_id", g(0, 0).cast("long").alias("n"), F.round(s(first, last), 5).alias("s_first_last"),
+                       F.round(s(width - 2, width - 1), 7).alias("s_policy_outcome"))
