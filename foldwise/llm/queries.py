@@ -93,3 +93,37 @@ def op10_mixing(spark, sf_dir):
     from foldwise.llm.mixing import mix_plan
 
     return mix_plan(table(spark, sf_dir, "documents")).drop("copies")
+
+
+OP8 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(x, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) % 32 + 1, 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first = page_id THEN NULL ELSE first END AS refers_to
+FROM f
+"""
+
+
+@query("op1_packing")
+def op1_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from foldwise.llm.packing import pack
+
+    pieces = pack(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.json"),
+                  ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op8_warc", OP8)
+def op8_warc(spark, sf_dir):
+    from foldwise.llm.warc import new_folder, read_warc, write_warc
+
+    folder = new_folder(spark)
+    index = write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_warc(spark, folder, index).select("page_id", F.col("full_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
+                                                  "record_type", "refers_to")
