@@ -127,3 +127,10 @@ def op8_warc(spark, sf_dir):
     index = write_warc(table(spark, sf_dir, "pages"), folder)
     return read_warc(spark, folder, index).select("page_id", F.col("full_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"),
                                                   "record_type", "refers_to")
+
+
+@query("op4_near_duplicates")
+def op4_near_duplicates(spark, sf_dir):
+    from foldwise.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
