@@ -158,7 +158,7 @@ def _merge(size, schema):
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "", ranks: str | None = None,
-         size: int = 1024, end_id: int = 0, open_windows: int = 64, merge_partitions: int = 64) -> DataFrame:
+         size: int = 1024, end_id: int = 0, open_windows: int = 64, merge_partitions: int = 16) -> DataFrame:
     """One row per piece: ``id, start, length, doc_tokens, sequence_id, offset, ids``.
 
     ``ids`` are the piece's ids as little-endian unsigned 32-bit numbers;

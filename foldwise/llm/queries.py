@@ -134,3 +134,10 @@ def op4_near_duplicates(spark, sf_dir):
     from foldwise.llm.near_duplicates import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
+
+
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark, sf_dir):
+    from foldwise.llm.passages import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))

@@ -32,7 +32,7 @@ def constants(seed: int, n: int) -> np.ndarray:
 
 
 _BYTE_CODES = constants(11, 256)
-_PLACE = constants(12, 64)
+PLACE = constants(12, 64)
 
 
 @lru_cache(maxsize=1)
@@ -44,6 +44,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         return np.multiply.accumulate(base), np.multiply.accumulate(inverse)
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of an odd number modulo 2^64, and their inverses."""
+    return _powers(1 << max(20, int(n - 1).bit_length() if n else 0))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit numbers."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -67,7 +72,7 @@ class Words:
         after[-1:] = True
         after[:-1] = ~word[1:]
         self.stop = np.flatnonzero(word & (after | cut[1:])) + 1
-        up, down = _powers(1 << max(12, int(n - 1).bit_length() if n else 0))
+        up, down = powers(n)
         codes = _BYTE_CODES[_LOWER] if lower else _BYTE_CODES
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(codes[data] * up[:n], out=sums[1:])
@@ -106,15 +111,15 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     full = full[doc[full] == doc[full + size - 1]] if len(full) else full
     out = np.zeros(len(full), dtype=np.uint64)
     for k in range(size):
-        out += h[full + k] * _PLACE[k]
+        out += h[full + k] * PLACE[k]
     owner = doc[full]
     short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
         whole = np.zeros(len(short), dtype=np.uint64)
         for k in range(size - 1):
             has = count[short] > k
-            whole[has] += h[words.first[short[has]] + k] * _PLACE[k]
-        whole += count[short].astype(np.uint64) * _PLACE[63]
+            whole[has] += h[words.first[short[has]] + k] * PLACE[k]
+        whole += count[short].astype(np.uint64) * PLACE[63]
         owner = np.concatenate([owner, short])
         out = np.concatenate([out, whole])
         order = np.argsort(owner, kind="stable")
