@@ -141,3 +141,17 @@ def op6_substring_dedup(spark, sf_dir):
     from foldwise.llm.passages import repeated_passages
 
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def crc_class(id_col: str, classes: int):
+    """crc32 of an id as text, modulo ``classes``."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % classes
+
+
+@query("op5_quality_classifier")
+def op5_quality_classifier(spark, sf_dir):
+    from foldwise.llm.quality_classifier import score_quality
+
+    held_out = crc_class("doc_id", 4) == 2
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=crc_class("id", 4) != 2)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
