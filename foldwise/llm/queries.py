@@ -155,3 +155,11 @@ def op5_quality_classifier(spark, sf_dir):
     held_out = crc_class("doc_id", 4) == 2
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=crc_class("id", 4) != 2)
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op7_language_model")
+def op7_language_model(spark, sf_dir):
+    from foldwise.llm.language_model import score_texts
+
+    scored = score_texts(table(spark, sf_dir, "documents"), learn_from=crc_class("id", 7) != 2)
+    return scored.select("doc_id", (crc_class("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
