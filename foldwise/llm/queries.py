@@ -163,3 +163,11 @@ def op7_language_model(spark, sf_dir):
 
     scored = score_texts(table(spark, sf_dir, "documents"), learn_from=crc_class("id", 7) != 2)
     return scored.select("doc_id", (crc_class("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op9_nearest")
+def op9_nearest(spark, sf_dir):
+    from foldwise.llm.neighbours import nearest_periods
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest_periods(vectors, F.col("id") % 50 == 0, "vec_id", "embedding").withColumnRenamed("id", "vec_id")
