@@ -171,3 +171,10 @@ def op9_nearest(spark, sf_dir):
 
     vectors = table(spark, sf_dir, "embeddings")
     return nearest_periods(vectors, F.col("id") % 50 == 0, "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+@query("op2_html_text")
+def op2_html_text(spark, sf_dir):
+    from foldwise.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages"))
