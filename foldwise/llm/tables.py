@@ -21,9 +21,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates two steps that hang every neighbour on the smallest item a node
     sees (larger neighbours, then smaller ones) until the edges stay the same, in
-    about log of the diameter rounds.  Edges stay in shared tables throughout; the
-    driver only sees their count and checksum.
+    about log of the diameter rounds.  Edges stay in shared tables throughout, of few
+    files where they are few; the driver only sees their count and checksum.
     """
+    def stored(df: DataFrame) -> DataFrame:
+        return materialize(df.coalesce(max(1, mark[0] // 200_000)) if mark[0] < 20_000_000 else df)
+
     now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                       .where("a <> b").distinct())
     seen = None
@@ -39,6 +42,6 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(down, "a")
         small = joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                               F.col("m").alias("b"))
-        now = materialize(small.where("a <> b").distinct())
+        now = stored(small.where("a <> b").distinct())
     items = now.select(F.col("a").alias("item"), F.col("b").alias("root"))
-    return materialize(items.union(now.select("b", "b")).distinct())
+    return stored(items.union(now.select("b", "b")).distinct())
