@@ -129,7 +129,24 @@ def op8_warc(spark, sf_dir):
                                                   "record_type", "refers_to")
 
 
-@query("op4_near_duplicates")
+OP4 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), e AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n p ON p.doc_id = a.doc_id JOIN n q ON q.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, p.n, q.n HAVING 100 * count(*) >= 85 * (p.n + q.n - count(*))
+), way AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), reach AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT b.y, r.r FROM reach r JOIN way b ON b.x = r.doc_id)
+SELECT w.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(r.r) AS component_id, min(r.r) = w.doc_id AS kept
+FROM w JOIN reach r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY w.doc_id
+"""
+
+
+@query("op4_near_duplicates", OP4)
 def op4_near_duplicates(spark, sf_dir):
     from foldwise.llm.near_duplicates import near_duplicates
 
