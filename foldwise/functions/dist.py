@@ -14,6 +14,21 @@ _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
 
+def _stirling(z):
+    """What the logarithm of the gamma function has beyond its leading terms, for large ``z``."""
+    return 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5)
+
+
+def log_beta(a, b):
+    """Logarithm of the beta function, without the difference of two large numbers."""
+    small, large = np.minimum(a, b), np.maximum(a, b)
+    big = large > 100
+    safe = np.where(big, large, 200.0)
+    far = (_lgamma(small) + _stirling(safe) - _stirling(safe + small) + small - small * np.log(safe)
+           - (safe + small - 0.5) * np.log1p(small / safe))
+    return np.where(big, far, _lgamma(small) + _lgamma(large) - _lgamma(small + large))
+
+
 def beta_tail(x, a, b):
     """Regularised incomplete beta function, by its continued fraction."""
     x, a, b = np.broadcast_arrays(*[np.asarray(v, float) for v in (x, a, b)])
@@ -21,12 +36,12 @@ def beta_tail(x, a, b):
     x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
     tiny = 1e-300
     with np.errstate(all="ignore"):
-        front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(x) + b * np.log1p(-x)) / a
+        front = np.exp(-log_beta(a, b) + a * np.log(x) + b * np.log1p(-x)) / a
         c = np.ones_like(x)
         d = 1 - (a + b) * x / (a + 1)
         d = 1 / np.where(np.abs(d) < tiny, tiny, d)
         value = d.copy()
-        for m in range(1, 400):
+        for m in range(1, 100_000):
             for term in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                          -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
                 d = 1 + term * d
@@ -35,8 +50,10 @@ def beta_tail(x, a, b):
                 c = np.where(np.abs(c) < tiny, tiny, c)
                 step = c * d
                 value = value * step
-            if np.all(np.abs(step - 1) < 1e-15):
+            if np.all((np.abs(step - 1) < 1e-15) | ~np.isfinite(step) | (x <= 0) | (x >= 1)):
                 break
+        else:
+            raise ArithmeticError("the continued fraction of the beta function has not converged")
         out = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, front * value))
     return np.where(flip, 1 - out, out)
 
@@ -48,24 +65,28 @@ def gamma_tail(a, x):
         front = np.exp(a * np.log(x) - x - _lgamma(a))
         term = 1 / a
         total = term.copy()
-        for n in range(1, 2000):
+        for n in range(1, 1_000_000):
             term = term * x / (a + n)
             total = total + term
-            if np.all(np.abs(term) <= np.abs(total) * 1e-17):
+            if np.all((np.abs(term) <= np.abs(total) * 1e-17) | (x >= a + 1)):
                 break
+        else:
+            raise ArithmeticError("the series of the gamma function has not converged")
         lower = front * total
         b = x + 1 - a
         c = np.full_like(x, 1e300)
         d = 1 / b
         h = d.copy()
-        for i in range(1, 2000):
+        for i in range(1, 1_000_000):
             an = -i * (i - a)
             b = b + 2
             d = 1 / (an * d + b)
             c = b + an / c
             h = h * d * c
-            if np.all(np.abs(d * c - 1) < 1e-15):
+            if np.all((np.abs(d * c - 1) < 1e-15) | (x < a + 1) | ~np.isfinite(h)):
                 break
+        else:
+            raise ArithmeticError("the continued fraction of the gamma function has not converged")
         upper = np.where(x < a + 1, 1 - lower, front * h)
     return np.where(x <= 0, 1.0, upper)
 
@@ -78,12 +99,17 @@ def t_two_sided(t, df):
 def t_quantile(level, df):
     """Two-sided critical value of Student's t at ``level`` by bisection."""
     level, df = np.broadcast_arrays(np.asarray(level, float), np.asarray(df, float))
-    low, high = np.zeros(df.shape), np.full(df.shape, 1e4)
-    for _ in range(120):
+    low, high = np.zeros(df.shape), np.ones(df.shape)
+    while np.any(short := t_two_sided(high, df) > 1 - level):
+        high = np.where(short, 2 * high, high)
+        if np.any(high > 1e300):
+            raise ArithmeticError("no finite quantile")
+    while True:
         mid = (low + high) / 2
+        if np.all((mid == low) | (mid == high)):
+            return mid
         wide = t_two_sided(mid, df) > 1 - level
         low, high = np.where(wide, mid, low), np.where(wide, high, mid)
-    return (low + high) / 2
 
 
 def _series(values: np.ndarray, *inputs: pd.Series) -> pd.Series:

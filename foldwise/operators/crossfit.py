@@ -9,11 +9,12 @@ coefficients into residuals.  Any ``pyspark.ml`` regressor works through
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.folds import check_folds, fold_table, neighbour, trains
-from foldwise.operators.learners import square, unshifted, weights
+from foldwise.operators.learners import merged, square, unshifted, weights
 from foldwise.operators.storage import CHUNK_ROWS, attach, materialize
 from foldwise.plans.spec import Learner
 
@@ -53,14 +54,21 @@ def _fold_plan(spark, n_blocks: int, design: str) -> list:
             .orderBy("fold").collect())
 
 
-def fold_tasks(gram: DataFrame, plan, keys=(), extra=()) -> DataFrame:
-    """One row per key and fold with all block sums of the key."""
+def fold_tasks(gram: DataFrame, plan, keys=(), equations=()) -> DataFrame:
+    """Rows with all block sums of a series, and the ``folds`` (and ``equations``) a task is to solve.
+
+    A panel has one row per key, so its sums travel once; a single series has one
+    row per fold and equation, so that its work is spread.
+    """
     keys = list(keys)
-    blocks = F.sort_array(F.collect_list(F.struct("block_id", "g")))
-    per_key = gram.groupBy(*keys).agg(blocks.alias("_b"), F.first("anchor").alias("anchor"), F.first("n_rows").alias("n_rows"))
-    folds = F.explode(F.array(*[F.lit(r["fold"]) for r in plan]))
-    return per_key.select(*keys, "n_rows", "anchor", F.transform("_b", lambda b: b["block_id"]).alias("block_ids"),
-                          F.transform("_b", lambda b: b["g"]).alias("grams"), folds.alias("fold"), *extra)
+    blocks = F.sort_array(F.collect_list(F.struct("block_id", "g", "anchor")))
+    per_key = gram.groupBy(*keys).agg(blocks.alias("_b"), F.first("n_rows").alias("n_rows"))
+    folds, wanted = [F.lit(r["fold"]) for r in plan], [F.lit(e) for e in equations] or [F.lit("all")]
+    split = F.array(*[F.struct(F.array(f).alias("folds"), F.array(e).alias("equations")) for f in folds for e in wanted])
+    whole = F.array(F.struct(F.array(*folds).alias("folds"), F.array(*wanted).alias("equations")))
+    return per_key.select(*keys, "n_rows", F.transform("_b", lambda b: b["block_id"]).alias("block_ids"),
+                          F.transform("_b", lambda b: b["g"]).alias("grams"), F.transform("_b", lambda b: b["anchor"]).alias("anchors"),
+                          F.explode(whole if keys else split).alias("_task")).select("*", "_task.folds", "_task.equations").drop("_task")
 
 
 def spread(tasks: DataFrame) -> DataFrame:
@@ -68,9 +76,9 @@ def spread(tasks: DataFrame) -> DataFrame:
     return tasks.repartition(max(tasks.sparkSession.sparkContext.defaultParallelism, 1))
 
 
-def added(block_ids, grams, wanted, width: int) -> np.ndarray:
-    chosen = [g for b, g in zip(block_ids, grams) if b in set(wanted)]
-    return square(np.sum(np.stack(chosen), axis=0), width)
+def added(row, wanted, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The products of some blocks of a task about their common mean, and that mean."""
+    return merged([(square(g, width), np.asarray(a)) for b, g, a in zip(row.block_ids, row.grams, row.anchors) if b in set(wanted)])
 
 
 def learner_table(spark, n_blocks: int, outcome=Learner(), policy=Learner()) -> DataFrame:
@@ -94,35 +102,38 @@ def nuisance(gram: DataFrame, learners: DataFrame, n_features: int, horizons: in
     keys = list(keys)
     plan = fold_plan(gram.sparkSession, n_blocks, design)
     sides = {r["fold"]: [list(s) for s in r["sides"]] for r in plan}
-    h = F.col("h") if "h" in learners.columns else F.lit(-1)
-    on = [*[k for k in keys if k in learners.columns], "fold"]
-    specs = learners.groupBy(*on).agg(F.collect_list(F.struct(
-        "equation", h.cast("int").alias("h"), "kind", "penalty", "l1_share")).alias("specs"))
     if "equation" not in learners.columns:
         raise KeyError("the learner table needs an equation column")
-    tasks = fold_tasks(gram, plan, keys).join(specs, on)
+    h = F.col("h") if "h" in learners.columns else F.lit(-1)
+    on = [k for k in keys if k in learners.columns]
+    spec = F.struct("fold", "equation", h.cast("int").alias("h"), "kind", "penalty", "l1_share")
+    tasks, shared = fold_tasks(gram, plan, keys), None
+    if on:
+        tasks = tasks.join(learners.groupBy(*on).agg(F.collect_list(spec).alias("specs")), on, "left")
+    else:  # folds, equations and horizons: bounded by the parameters
+        shared = [r["s"].asDict() for r in learners.select(spec.alias("s")).collect()]
     width, p = n_features + 2 + horizons + 1, n_features
 
     def solve(batches):
         for pdf in batches:
-            policy, outcome = [], []
+            out = []
             for row in pdf.itertuples(index=False):
-                samples = [added(row.block_ids, row.grams, s, width) for s in sides[row.fold]]
-                own = {(s["equation"], s["h"]): s for s in row.specs}
-                found = []
-                for target in range(p + 1, width):
-                    lead = target - p - 2
-                    name = ("policy", -1) if lead < 0 else ("outcome", lead)
-                    spec = own.get(name) or own.get((name[0], -1))
-                    if spec is None:
-                        raise ValueError(f"no {name[0]} learner for fold {row.fold}, horizon {lead}")
-                    lines = [weights(g, p, target, spec["kind"], spec["penalty"], spec["l1_share"]) for g in samples]
-                    found.append(unshifted(np.mean(lines, axis=0), np.asarray(row.anchor), p, target))
-                policy.append(found[0])
-                outcome.append(found[1:])
-            out = pdf[[*keys, "fold", "n_rows"]].rename(columns={"fold": "block_id"})
-            out["policy_coef"], out["outcome_coef"] = policy, outcome
-            yield out
+                given = shared if shared is not None else (row.specs if row.specs is not None else [])
+                own = {(s["fold"], s["equation"], s["h"]): s for s in given}
+                for fold in row.folds:
+                    samples = [added(row, s, width) for s in sides[fold]]
+                    found = []
+                    for target in range(p + 1, width):
+                        lead = target - p - 2
+                        name = ("policy", -1) if lead < 0 else ("outcome", lead)
+                        spec = own.get((fold, *name)) or own.get((fold, name[0], -1))
+                        if spec is None:
+                            raise ValueError(f"no {name[0]} learner is left for fold {fold}, horizon {lead}: every candidate failed or none was given")
+                        lines = [unshifted(weights(g, p, target, spec["kind"], spec["penalty"], spec["l1_share"], level), level, p, target)
+                                 for g, level in samples]
+                        found.append(np.mean(lines, axis=0))
+                    out.append([*[getattr(row, k) for k in keys], fold, row.n_rows, found[0], found[1:]])
+            yield pd.DataFrame(out, columns=[*keys, "block_id", "n_rows", "policy_coef", "outcome_coef"])
 
     types = {f.name: f.dataType.simpleString() for f in gram.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keys], "block_id int", "n_rows bigint",

@@ -10,6 +10,7 @@ from foldwise.operators.position import add_position, exact_quantiles, ordered_s
 from foldwise.operators.storage import CHUNK_ROWS, attach, materialize, pinned
 from foldwise.operators.trend import trend_ratio
 from foldwise.plans.spec import Design
+from foldwise.sources.frames import nan_to_null
 
 SCALINGS = ("none", "l2", "standard", "robust", "minmax")
 
@@ -122,7 +123,7 @@ def build_design(raw: DataFrame, spec: Design, chunk_rows: int = CHUNK_ROWS) ->
     """
     check_names(spec)
     keys, t = list(spec.keys), spec.time_col
-    series = add_position(raw.select(*keys, t, *spec.codes), t, keys)
+    series = add_position(nan_to_null(raw.select(*keys, t, *spec.codes), list(spec.codes)), t, keys)
     names = {n: coded(n, c) for n, c in spec.codes.items()}
     complete = transform_all(series, spec.codes, t, keys, chunk_rows=chunk_rows).dropna("any", subset=list(names.values()))
     numbered = reposition(materialize(complete), keys, chunk_rows).drop("old_pos")

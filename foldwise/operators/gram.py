@@ -11,34 +11,34 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.storage import CHUNK_ROWS, attach, beside, materialize, pinned
+from foldwise.operators.storage import CHUNK_ROWS, attach, materialize
 
 #: Above this many product sums they are formed in numpy, a batch at a time.
 MAX_SUM_COLUMNS = 150
 #: Product sums a task may hold before it passes them on.
 FLUSH_DOUBLES = 16_000_000
-#: Rows of each series whose mean shifts its columns, against loss of digits.
-ANCHOR_ROWS = 64
+#: Products that travel in one row of the shuffle.
+SLICE_DOUBLES = 64
 
 
-def anchors(design: DataFrame, z_cols, keys=()) -> DataFrame:
-    """A typical level per column, from the first rows of each key.
-
-    Any shift gives the same fit; one near the data keeps the sums accurate.
-    The filter on ``pos`` reaches the scan.
-    """
-    shift = F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in z_cols])
-    return design.where(F.col("pos") < ANCHOR_ROWS).groupBy(*keys).agg(
-        F.max("n_rows").alias("n_rows"), shift.alias("anchor"))
+def block_means(design: DataFrame, z_cols, keys=()) -> DataFrame:
+    """``keys, block_id, n_rows, anchor``: the mean of every column in every block."""
+    means = F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in z_cols])
+    return design.where(F.col("block_id").isNotNull()).groupBy(*keys, "block_id").agg(
+        F.max("n_rows").alias("n_rows"), means.alias("anchor"))
 
 
 def block_gram(design: DataFrame, z_cols, keys=(), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``keys, block_id, n_rows, anchor, g``; ``g`` is the upper triangle by rows of
-    ``sum([1, z - anchor] [1, z - anchor]')``."""
+    ``sum([1, z - anchor] [1, z - anchor]')`` with the block's own means as ``anchor``.
+
+    Products are centred before they are added, so a level, or a step between
+    blocks, costs no digits; ``learners.merged`` moves blocks to a common centre.
+    """
     keys, z_cols = list(keys), list(z_cols)
-    shift = pinned(anchors(design, z_cols, keys), keys)
+    shift = materialize(block_means(design, z_cols, keys))
     rows = attach(design.where(F.col("block_id").isNotNull()).select(*keys, "pos", "n_rows", "block_id", *z_cols),
-                  shift, keys, chunk_rows=chunk_rows)
+                  shift, keys, ["block_id"], chunk_rows=chunk_rows)
     z = [F.lit(1.0), *[F.col(c) - F.col("anchor")[i] for i, c in enumerate(z_cols)]]
     pairs = [(i, j) for i in range(len(z)) for j in range(i, len(z))]
     group = [*keys, "block_id"]
@@ -49,7 +49,7 @@ def block_gram(design: DataFrame, z_cols, keys=(), chunk_rows: int = CHUNK_ROWS)
         packed = sums.select(*group, F.array(*[F.col(f"_g{k}") for k in range(len(pairs))]).alias("g"))
     else:
         packed = _wide_sums(rows.select(*group, F.array(*z).alias("_z")), group, len(z))
-    return materialize(beside(packed, shift, keys))
+    return materialize(packed.join(shift, group))
 
 
 def _wide_sums(rows: DataFrame, group, width: int) -> DataFrame:
@@ -76,7 +76,11 @@ def _wide_sums(rows: DataFrame, group, width: int) -> DataFrame:
 
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     schema = ", ".join([*[f"`{c}` {fields[c]}" for c in group], "v array<double>"])
-    parts = rows.mapInPandas(partial, schema).select(*group, F.posexplode("v").alias("i", "v"))
-    sums = parts.groupBy(*group, "i").agg(F.sum("v").alias("v"))
-    ordered = F.sort_array(F.collect_list(F.struct("i", "v")))
-    return sums.groupBy(*group).agg(F.transform(ordered, lambda e: e["v"]).alias("g"))
+    # Slices of the triangle are shuffled, not single products; a slice is added up element by element.
+    cuts = list(range(0, len(upper[0]), SLICE_DOUBLES))
+    pieces = F.array(*[F.struct(F.lit(k).alias("i"), F.slice("v", c + 1, SLICE_DOUBLES).alias("v")) for k, c in enumerate(cuts)])
+    parts = rows.mapInPandas(partial, schema).select(*group, F.explode(pieces).alias("_s")).select(*group, "_s.i", "_s.v")
+    sums = parts.groupBy(*group, "i").agg(*[F.sum(F.get("v", F.lit(j))).alias(f"_v{j}") for j in range(SLICE_DOUBLES)])
+    packed = F.filter(F.array(*[F.col(f"_v{j}") for j in range(SLICE_DOUBLES)]), lambda x: x.isNotNull())
+    ordered = F.sort_array(F.collect_list(F.struct("i", packed.alias("v"))))
+    return sums.groupBy(*group).agg(F.flatten(F.transform(ordered, lambda e: e["v"])).alias("g"))

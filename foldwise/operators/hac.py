@@ -188,6 +188,52 @@ def _long_bartlett(rows, cols, groups, add, keys, chunk_rows):
         F.try_divide(F.col(n), scale).alias(f"lrv_{i}_{j}") for n, (i, j) in zip(names, _pairs(cols))])
 
 
+def _lag_weights(kernel: str, width: int) -> np.ndarray:
+    """Kernel weights of the lags 1..width."""
+    x = np.arange(1, width + 1) / (width + 1.0)
+    if kernel == "bartlett":
+        return 1.0 - x
+    if kernel == "qs":
+        a = 6.0 * np.pi * x / 5.0
+        return 25.0 / (12.0 * np.pi ** 2) / (x * x) * (np.sin(a) / a - np.cos(a))
+    return np.where(x <= 0.5, 1.0 - 6.0 * x * x + 6.0 * x ** 3, 2.0 * (1.0 - x) ** 3)
+
+
+def _long_kernel(rows, cols, groups, add, kernel, keys, max_width, chunk_rows):
+    """Any kernel and bandwidth in one pass: lag products of a chunk by Fourier transform.
+
+    A chunk with the rows before it that its lags reach gives all its lag products
+    at once, and adds them up with the weights of its key; only sums leave the task.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    small = groups.select(*keys, "bandwidth", *(["n_rows"] if keys else []))
+    small = materialize(small) if keys else small
+    data = attach(rows.select(*keys, "pos", *cols), small, keys, chunk_rows=chunk_rows)
+    wide = halo(data.select(*keys, "pos", "bandwidth", *cols), before=max_width, chunk_rows=chunk_rows)
+    names = [f"_v_{i}_{j}" for i, j in _pairs(cols)]
+
+    def chunk(pdf):
+        pdf = pdf.sort_values("pos", kind="stable")
+        width, home = int(pdf["bandwidth"].iloc[0]), pdf["_home"].to_numpy(bool)
+        z = [pdf[c].to_numpy(float) for c in cols]
+        size = 1 << int(len(pdf) + width).bit_length()
+        whole = [np.fft.rfft(v, size) for v in z]
+        own = [np.fft.rfft(np.where(home, v, 0.0), size) for v in z]
+        w, out = _lag_weights(kernel, width), {k: pdf[k].iloc[:1].to_numpy() for k in keys}
+        for name, (i, j) in zip(names, _pairs(cols)):
+            # Entry l: products of a row here with the row l places before it.
+            back = np.fft.irfft(own[i] * np.conj(whole[j]), size)[:width + 1]
+            other = back if i == j else np.fft.irfft(own[j] * np.conj(whole[i]), size)[:width + 1]
+            out[name] = [back[0] + float(w @ (back[1:] + other[1:]))]
+        return pd.DataFrame(out)
+
+    schema = ", ".join([*[f"`{k}` {fields[k]}" for k in keys], *[f"{n} double" for n in names]])
+    parts = wide.groupBy(*keys, "_chunk").applyInPandas(chunk, schema)
+    joined = add(parts.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names]))
+    return joined.select(*keys, "n_obs", "bandwidth", *[
+        F.try_divide(F.col(n), F.col("n_obs") - F.col("dof")).alias(f"lrv_{i}_{j}") for n, (i, j) in zip(names, _pairs(cols))])
+
+
 def _cosine_sums(rows, cols, groups, add, keys, chunk_rows):
     """Equal-weighted cosines: each task sums its rows times the cosines, one pass over the rows."""
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
@@ -259,6 +305,8 @@ def centred_lrv(rows: DataFrame, cols, groups: DataFrame, kernel: str, keys=(),
         return _cosine_sums(rows, cols, groups, add, keys, chunk_rows)
     if kernel == "bartlett" and largest > lag_limit:
         return _long_bartlett(rows, cols, groups, add, keys, chunk_rows)
+    if largest > lag_limit:
+        return _long_kernel(rows, cols, groups, add, kernel, keys, largest, chunk_rows)
     return _kernel_sums(rows, cols, add, kernel, keys, largest, chunk_rows)
 
 

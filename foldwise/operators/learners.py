@@ -20,13 +20,35 @@ def square(g: np.ndarray, width: int) -> np.ndarray:
     return full + np.triu(full, 1).T
 
 
-def centred(gram: np.ndarray, p: int, target: int):
-    """Rows, centred products of the features, and of features and target."""
+def merged(parts) -> tuple[np.ndarray, np.ndarray]:
+    """One matrix about the common mean from ``(matrix, anchor)`` of several blocks.
+
+    What a block adds beyond its own centred products is a square of its distance
+    from the common mean, so nothing large is ever subtracted.
+    """
+    sizes = np.array([g[0, 0] for g, _ in parts])
+    levels = np.stack([anchor + g[0, 1:] / g[0, 0] for g, anchor in parts])
+    centre = levels[0] + sizes @ (levels - levels[0]) / sizes.sum()
+    total = np.zeros_like(parts[0][0])
+    for g, anchor in parts:
+        step = anchor - centre
+        total += g
+        total[0, 1:] += g[0, 0] * step
+        total[1:, 1:] += np.outer(g[0, 1:], step) + np.outer(step, g[0, 1:]) + g[0, 0] * np.outer(step, step)
+    total[1:, 0] = total[0, 1:]
+    return total, centre
+
+
+def centred(gram: np.ndarray, p: int, target: int, level: np.ndarray):
+    """Rows, centred products of the features, and of features and target.
+
+    A column is flat if its spread is lost in the rounding of its ``level``.
+    """
     n = gram[0, 0]
     means = gram[0] / n
     sxx = gram[1:p + 1, 1:p + 1] - n * np.outer(means[1:p + 1], means[1:p + 1])
     sxy = gram[1:p + 1, target] - n * means[1:p + 1] * means[target]
-    flat = np.diag(sxx) <= 1e-14 * np.maximum(np.diag(gram)[1:p + 1], 1e-300)
+    flat = np.diag(sxx) <= n * np.maximum(1e-12 * np.abs(level[:p]), 1e-150) ** 2
     sxx[flat, :] = 0.0
     sxx[:, flat] = 0.0
     sxy[flat] = 0.0
@@ -99,14 +121,18 @@ def descend(sxx, sxy, l1: float, l2: float, w: np.ndarray) -> np.ndarray:
             exact = feature_sign(sxx, sxy, l1, l2, w)
             if exact is not None:
                 return exact
+    grad = sxx @ w + l2 * w - sxy
+    off = np.where(w != 0, np.abs(grad + l1 * np.sign(w)), np.maximum(np.abs(grad) - l1, 0.0))[usable]
+    if np.max(off) > 1e-7 * scale:
+        raise np.linalg.LinAlgError(f"no solution for penalty {l1:g} after {MAX_SWEEPS} sweeps")
     return w
 
 
-def weights(gram: np.ndarray, p: int, target: int, kind: str, penalty: float, share: float, start=None):
-    """``[intercept, w...]`` in the shifted columns of ``gram``."""
+def weights(gram: np.ndarray, p: int, target: int, kind: str, penalty: float, share: float, level: np.ndarray, start=None):
+    """``[intercept, w...]`` in the columns of ``gram``, which are shifted by ``level``."""
     if kind not in KINDS:
         raise ValueError(f"unknown learner {kind!r}; known: {KINDS}")
-    n, means, sxx, sxy = centred(gram, p, target)
+    n, means, sxx, sxy = centred(gram, p, target, level)
     if kind == "ols":
         w = np.linalg.pinv(sxx, rcond=1e-11, hermitian=True) @ sxy if p else np.zeros(0)
     elif kind == "ridge":
@@ -118,11 +144,12 @@ def weights(gram: np.ndarray, p: int, target: int, kind: str, penalty: float, sh
     return np.concatenate([[means[target] - means[1:p + 1] @ w], w])
 
 
-def squared_error(gram: np.ndarray, p: int, target: int, beta: np.ndarray) -> float:
-    """Sum of squared errors of ``beta`` on the rows behind ``gram``."""
+def squared_error(gram: np.ndarray, level: np.ndarray, p: int, target: int, beta: np.ndarray) -> float:
+    """Sum of squared errors of ``beta`` (in the original columns) on the rows behind ``gram``."""
     v = np.zeros(len(gram))
-    v[:p + 1] = -beta
+    v[1:p + 1] = -beta[1:]
     v[target] = 1.0
+    v[0] = level[target - 1] - beta[0] - beta[1:] @ level[:p]
     return max(float(v @ gram @ v), 0.0)
 
 

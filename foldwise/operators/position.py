@@ -22,7 +22,7 @@ def add_position(df: DataFrame, time_col: str, keys=(), n_blocks: int | None = N
     keys = list(keys)
     order = [*keys, time_col]
     stored = materialize(
-        df.repartitionByRange(*order)
+        _given(df, order).repartitionByRange(*order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_seq", F.monotonically_increasing_id())
@@ -34,6 +34,12 @@ def add_position(df: DataFrame, time_col: str, keys=(), n_blocks: int | None = N
     return with_blocks(out, n_blocks) if n_blocks else out
 
 
+def _given(df: DataFrame, columns) -> DataFrame:
+    """Missing keys or times are an error: their rows have no place in any series."""
+    missing = {c: F.raise_error(F.lit(f"missing values in {c!r}: rows without key or time have no place")) for c in columns}
+    return df.withColumns({c: F.when(F.col(f"`{c}`").isNull(), e).otherwise(F.col(f"`{c}`")) for c, e in missing.items()})
+
+
 def reposition(df: DataFrame, keys=(), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Number the rows left by a filter again; ``df`` should be materialized.
 
@@ -108,16 +114,24 @@ def check_times(df: DataFrame, time_col: str, keys=()) -> DataFrame:
 def exact_quantiles(df: DataFrame, value: str, probs, keys=()) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per key.
 
-    Sorts by range partitions and reads the two order statistics each quantile
-    needs, so no task holds the values of a whole key.
+    Equal values are counted first, so a value that most rows share is one row of
+    the sort; running counts over distinct values then give the two order
+    statistics each quantile lies between.
     """
     keys = list(keys)
-    ranked = add_position(df.where(F.col(value).isNotNull()).select(*keys, value), value, keys)
-    wanted = F.array(*[F.lit(float(p)) for p in probs])
-    place = F.col("p") * (F.col("n_rows") - 1)
-    near = ranked.withColumn("p", F.explode(wanted)).where(F.abs(place - F.col("pos")) < 1)
-    share = 1 - F.abs(place - F.col("pos"))
-    per_p = near.groupBy(*keys, "p").agg(F.sum(F.col(value) * share).alias("_q"))
+    order = [*keys, value]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*order).agg(F.count(F.lit(1)).alias("_n"))
+    stored = materialize(counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    pieces = stored.groupBy(*keys, "_part").agg(F.sum("_n").alias("_rows"))
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value)) - F.col("_n")
+    ranked = _with_offsets(stored.withColumn("_inside", inside), pieces, keys, F.col("_inside"), bounded=not keys)
+    at = F.col("p") * (F.col("n_rows") - 1)
+    last = F.col("pos") + F.col("_n") - 1
+    holds = lambda place: ((place >= F.col("pos")) & (place <= last)).cast("double")
+    share = at - F.floor(at)
+    weight = (1 - share) * holds(F.floor(at)) + share * holds(F.floor(at) + 1)
+    near = ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs]))).withColumn("_w", weight).where("_w > 0")
+    per_p = near.groupBy(*keys, "p").agg(F.sum(F.col(value) * F.col("_w")).alias("_q"))
     return per_p.groupBy(*keys).agg(
         *[F.max(F.when(F.col("p") == float(p), F.col("_q"))).alias(f"q{round(100 * p):02d}") for p in probs]
     )

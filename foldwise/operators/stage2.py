@@ -9,6 +9,7 @@ from foldwise.functions.dist import (
     critical_value, fixed_b_bartlett, normal_p_value, t_critical, t_p_value)
 from foldwise.operators.hac import (
     centred_lrv, clipped, default_bandwidth, first_autocorrelation, kernel_named, rule_bandwidth)
+from foldwise.operators.position import reposition
 from foldwise.operators.storage import CHUNK_ROWS, attach, beside, literals, materialize, pinned
 from foldwise.plans.spec import Inference
 
@@ -30,10 +31,30 @@ def _line(intercept: bool) -> dict[str, Column]:
             "sum_score": F.sum(x * y) - const * F.sum(x), "n_rows": F.max("n_rows"), "var_xi": F.var_pop(x)}
 
 
+def complete(resid: DataFrame) -> DataFrame:
+    """The rows in folds that have both residuals; NaN counts as missing."""
+    known = [F.col(c).isNotNull() & ~F.isnan(c) for c in ("chi", "xi")]
+    return resid.where(F.col("block_id").isNotNull() & known[0] & known[1])
+
+
 def fold_fits(resid: DataFrame, by=(), intercept: bool = True) -> DataFrame:
     """One least-squares line per fold: ``by, block_id, n_obs, coef, const, std_error, ...``."""
-    rows = resid.where(F.col("block_id").isNotNull())
-    return rows.groupBy(*by, "block_id").agg(*[c.alias(n) for n, c in _line(intercept).items()])
+    places = [F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")] if "pos" in resid.columns else []
+    return complete(resid).groupBy(*by, "block_id").agg(*[c.alias(n) for n, c in _line(intercept).items()], *places)
+
+
+def _gapless(scores: DataFrame, fits: DataFrame, by, chunk_rows: int, shift: Column) -> DataFrame:
+    """``scores`` numbered 0, 1, 2, ... as the long-run variances need them.
+
+    ``fits`` (a small stored table) knows from the first and last position whether
+    rows are missing inside; only then the rows are numbered anew, else ``shift`` does.
+    """
+    if fits.where(F.col("last_pos") - F.col("first_pos") + 1 != F.col("n_obs")).isEmpty():
+        return scores.withColumn("pos", F.col("pos") + shift).drop("shift", "first_pos")
+    scores = scores.drop("shift", "first_pos")
+    if "n_rows" not in scores.columns:
+        scores = scores.withColumn("n_rows", F.lit(0).cast("bigint"))
+    return reposition(materialize(scores), by, chunk_rows).drop("old_pos")
 
 
 def with_inference(df: DataFrame, level: float, intercept: bool, crit: Column | None = None) -> DataFrame:
@@ -60,6 +81,10 @@ def stage2_block(resid: DataFrame, spec: Inference = Inference(), by=(), chunk_r
     folds = usable.withColumn("theta", F.avg("coef").over(whole))
     folds = folds.withColumn("score_mean", F.sum(F.col("sum_score") - F.col("theta") * F.col("sum_xx")).over(whole)
                              / F.sum("n_obs").over(whole))
+    # A fold without a slope leaves no hole in the order of the scores: later folds move up.
+    earlier = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("block_id").rowsBetween(
+        Window.unboundedPreceding, -1)
+    folds = folds.withColumn("shift", F.coalesce(F.sum("n_obs").over(earlier), F.lit(0)) - F.col("first_pos"))
     folds = materialize(folds)
     ordered = F.array_sort(F.collect_list(F.struct("block_id", "coef", "std_error")))
     stats = folds.groupBy(*by).agg(
@@ -76,10 +101,12 @@ def stage2_block(resid: DataFrame, spec: Inference = Inference(), by=(), chunk_r
     if spec.se != "stacked_hac":
         raise ValueError(f"unknown standard error {spec.se!r}; known: stacked_hac, fold_average")
 
-    slopes = folds.select(*by, "block_id", *(["n_rows"] if by else []), "const", "theta", "score_mean")
-    rows = attach(resid.select(*by, "pos", "block_id", "chi", "xi"), slopes, by, ["block_id"], chunk_rows)
+    slopes = folds.select(*by, "block_id", *(["n_rows"] if by else []), "const", "theta", "score_mean", "shift")
+    rows = attach(complete(resid).select(*by, "pos", "block_id", "chi", "xi"), slopes, by, ["block_id"], chunk_rows)
     error = F.col("chi") - F.col("const") - F.col("theta") * F.col("xi")
-    scores = rows.select(*by, "pos", (F.col("xi") * error - F.col("score_mean")).alias("score"))
+    scores = rows.select(*by, "pos", "shift", *(["n_rows"] if "n_rows" in rows.columns else []),
+                         (F.col("xi") * error - F.col("score_mean")).alias("score"))
+    scores = _gapless(scores, folds, by, chunk_rows, F.col("shift"))
     kernel, n = kernel_named(spec.kernel), F.col("n_obs")
     rule = (spec.rule or "small").lower()
     explicit = True
@@ -123,16 +150,18 @@ def _slope_score() -> Column:
 def stage2_full(resid: DataFrame, spec: Inference = Inference(), by=(), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """One regression over all rows, with a serially robust (or plain) covariance."""
     by = list(by)
-    rows = resid.where(F.col("block_id").isNotNull())
-    fits = rows.groupBy(*by).agg(*[c.alias(n) for n, c in _line(spec.intercept).items()])
+    rows = complete(resid)
+    fits = rows.groupBy(*by).agg(*[c.alias(n) for n, c in _line(spec.intercept).items()],
+                                 F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
     fits = fits.withColumn("_center", F.col("mean_xi") if spec.intercept else F.lit(0.0))
     n = F.col("n_obs")
     if spec.hac:
         width = rule_bandwidth(spec.rule, n, F.col("h") if "h" in by else 0, spec.value)
         fits = pinned(fits.withColumn("bandwidth", clipped(spec.kernel, width, n)).withColumn("dof", F.lit(0)), by)
-        line = fits.select(*by, *(["n_rows"] if by else []), "const", "coef", "_center")
+        line = fits.select(*by, *(["n_rows"] if by else []), "const", "coef", "_center", "first_pos")
         joined = attach(rows.select(*by, "pos", "chi", "xi"), line, by, chunk_rows=chunk_rows)
-        scores = joined.select(*by, "pos", _slope_score().alias("score"))
+        scores = joined.select(*by, "pos", "first_pos", *(["n_rows"] if by else []), _slope_score().alias("score"))
+        scores = _gapless(scores, fits, by, chunk_rows, -F.col("first_pos"))
         long_run = centred_lrv(scores, ["score"], fits, spec.kernel, by, chunk_rows).select(*by, "lrv_0_0")
         fits = beside(long_run, fits, by)
         fits = fits.withColumn("std_error", F.try_divide(F.sqrt(F.greatest(F.col("lrv_0_0"), F.lit(0.0)) * n), F.col("spread")))
@@ -163,7 +192,7 @@ def block_statistics(resid: DataFrame, spec: Inference = Inference(), by=(), lag
     and NULL statistics.  p-values are normal for the Bartlett error, t otherwise.
     """
     by = list(by)
-    rows = resid.where(F.col("block_id").isNotNull())
+    rows = complete(resid)
     fits = fold_fits(rows, by, spec.intercept).withColumn(
         "_center", F.col("mean_xi") if spec.intercept else F.lit(0.0))
     return _statistics(rows, fits, spec, by, ["block_id"], lag, chunk_rows)
@@ -173,8 +202,9 @@ def full_statistics(resid: DataFrame, spec: Inference = Inference(), by=(), lag:
                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The same over all rows."""
     by = list(by)
-    rows = resid.where(F.col("block_id").isNotNull())
-    fits = rows.groupBy(*by).agg(*[c.alias(n) for n, c in _line(spec.intercept).items()]).withColumn(
+    rows = complete(resid)
+    places = [F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")] if "pos" in rows.columns else []
+    fits = rows.groupBy(*by).agg(*[c.alias(n) for n, c in _line(spec.intercept).items()], *places).withColumn(
         "_center", F.col("mean_xi") if spec.intercept else F.lit(0.0))
     return _statistics(rows, fits, spec, by, [], lag, chunk_rows)
 
@@ -187,12 +217,10 @@ def _statistics(rows, fits, spec, by, extra, lag, chunk_rows):
     if robust:
         width = F.greatest(lag if isinstance(lag, Column) else F.lit(int(lag)), F.lit(1))
         fits = pinned(fits.withColumn("bandwidth", clipped(spec.kernel, width, n)).withColumn("dof", F.lit(0)), group)
-        start = F.col("_first") if extra else F.lit(0)
-        firsts = rows.groupBy(*group).agg(F.min("pos").alias("_first"))
-        placed = beside(firsts, fits, group)
-        line = placed.select(*group, *(["n_rows"] if by else []), "const", "coef", "_center", "_first")
+        line = fits.select(*group, *(["n_rows"] if by else []), "const", "coef", "_center", "first_pos")
         joined = attach(rows.select(*group, "pos", "chi", "xi"), line, by, extra, chunk_rows)
-        scores = joined.select(*group, (F.col("pos") - start).alias("pos"), _slope_score().alias("score"))
+        scores = joined.select(*group, "pos", "first_pos", *(["n_rows"] if by else []), _slope_score().alias("score"))
+        scores = _gapless(scores, fits, group, chunk_rows, -F.col("first_pos"))
         long_run = centred_lrv(scores, ["score"], fits, spec.kernel, group, chunk_rows).select(*group, "lrv_0_0")
         fits = beside(long_run, fits, group)
         fits = fits.withColumn("std_error", F.try_divide(F.sqrt(F.greatest(F.col("lrv_0_0"), F.lit(0.0)) * n), F.col("spread")))

@@ -60,44 +60,43 @@ def error_profile(gram: DataFrame, outcome_grid, policy_grid, n_features: int, h
     split = {r["fold"]: (list(r["train"]), [r["validate"]]) for r in plan}
     grids = {"outcome": candidates(outcome_grid), "policy": candidates(policy_grid)}
     width, p = n_features + 2 + horizons + 1, n_features
-    equations = F.explode(F.array(F.lit("outcome"), F.lit("policy")))
-    tasks = fold_tasks(gram, plan, keys).withColumn("equation", equations)
+    tasks = fold_tasks(gram, plan, keys, ("outcome", "policy"))
+
+    def curve(row, fold, equation):
+        target = p + 2 if equation == "outcome" else p + 1
+        (train, level), (val, near) = (added(row, s, width) for s in split[fold])
+        grid = grids[equation]
+        rmse, lines = [None] * len(grid), [None] * len(grid)
+        start, family = None, None
+        # Large penalties first: each solution starts the next one.
+        for i in sorted(range(len(grid)), key=lambda i: (grid[i].kind, grid[i].l1_share, -grid[i].penalty)):
+            m = grid[i]
+            if family != (m.kind, m.l1_share):
+                start, family = None, (m.kind, m.l1_share)
+            try:
+                beta = weights(train, p, target, m.kind, m.penalty, m.l1_share, level, start)
+            except np.linalg.LinAlgError:
+                continue
+            start = beta[1:]
+            line = unshifted(beta, level, p, target)
+            value = float(np.sqrt(squared_error(val, near, p, target, line) / val[0, 0]))
+            if np.isfinite(value):
+                rmse[i], lines[i] = value, line
+        frame = pd.DataFrame({
+            "fold": fold, "equation": equation, "grid_idx": range(len(grid)),
+            "kind": [m.kind for m in grid], "penalty": [float(m.penalty) for m in grid],
+            "l1_share": [float(m.l1_share) for m in grid], "rmse": pd.array(rmse, dtype="Float64"),
+            "n_train": int(round(train[0, 0])), "n_val": int(round(val[0, 0])), "n_rows": row.n_rows})
+        if return_coef:
+            frame["coef"] = lines
+        for k in keys:
+            frame[k] = getattr(row, k)
+        return frame
 
     def score(batches):
         for pdf in batches:
-            frames = []
             for row in pdf.itertuples(index=False):
-                target = p + 2 if row.equation == "outcome" else p + 1
-                train, val = (added(row.block_ids, row.grams, s, width) for s in split[row.fold])
-                grid = grids[row.equation]
-                rmse, lines = [None] * len(grid), [None] * len(grid)
-                start, family = None, None
-                # Large penalties first: each solution starts the next one.
-                for i in sorted(range(len(grid)), key=lambda i: (grid[i].kind, grid[i].l1_share, -grid[i].penalty)):
-                    m = grid[i]
-                    if family != (m.kind, m.l1_share):
-                        start, family = None, (m.kind, m.l1_share)
-                    try:
-                        beta = weights(train, p, target, m.kind, m.penalty, m.l1_share, start)
-                        start = beta[1:]
-                        value = float(np.sqrt(squared_error(val, p, target, beta) / val[0, 0]))
-                    except np.linalg.LinAlgError:
-                        continue
-                    if np.isfinite(value):
-                        rmse[i] = value
-                        lines[i] = unshifted(beta, np.asarray(row.anchor), p, target)
-                frame = pd.DataFrame({
-                    "fold": row.fold, "equation": row.equation, "grid_idx": range(len(grid)),
-                    "kind": [m.kind for m in grid], "penalty": [float(m.penalty) for m in grid],
-                    "l1_share": [float(m.l1_share) for m in grid], "rmse": pd.array(rmse, dtype="Float64"),
-                    "n_train": int(round(train[0, 0])), "n_val": int(round(val[0, 0])), "n_rows": row.n_rows})
-                if return_coef:
-                    frame["coef"] = lines
-                for k in keys:
-                    frame[k] = getattr(row, k)
-                frames.append(frame)
-            if frames:
-                yield pd.concat(frames, ignore_index=True)
+                yield pd.concat([curve(row, f, e) for f in row.folds for e in row.equations], ignore_index=True)
 
     types = {f.name: f.dataType.simpleString() for f in gram.schema.fields}
     schema = ", ".join([

@@ -25,7 +25,14 @@ def from_dataframe(df: DataFrame, time_col: str, y: str, d: str, features, keys=
         if bad is not None:
             raise ValueError(f"times must be given and unique in a series: {bad.asDict()}")
     wanted = list(dict.fromkeys([*keys, time_col, y, d, *features]))
-    return add_position(df.select(*wanted), time_col, keys, n_blocks)
+    return add_position(nan_to_null(df.select(*[F.col(f"`{c}`") for c in wanted]), [y, d, *features]), time_col, keys, n_blocks)
+
+
+def nan_to_null(df: DataFrame, columns) -> DataFrame:
+    """NULL for NaN in floating columns: there is one kind of missing value."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    floats = [c for c in dict.fromkeys(columns) if isinstance(kinds.get(c), (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast(kinds[c])) for c in floats}) if floats else df
 
 
 def write_irf(irf: DataFrame, path: str, by=(), format: str = "csv") -> None:

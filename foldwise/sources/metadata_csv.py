@@ -25,18 +25,23 @@ def read_metadata_wide(spark: SparkSession, path: str, time_col: str = "ts") ->
     """
     raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
     label, names = raw.columns[0], raw.columns[1:]
-    heads = raw.where(F.col(label).isin(SPEED_ROW, CODE_ROW)).limit(2).select(label, *names)
-    found = {r[0] for r in heads.select(label).collect()}
+    key = F.col(f"`{label}`")
+    # Every file of a folder may repeat the two rows; they have to agree.
+    heads = raw.where(key.isin(SPEED_ROW, CODE_ROW)).withColumnRenamed(label, "_label").distinct()
+    seen = {r["_label"]: r["n"] for r in heads.groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()}
     for wanted in (SPEED_ROW, CODE_ROW):
-        if wanted not in found:
+        if wanted not in seen:
             raise ValueError(f"the table has no row {wanted!r}")
-    tall = heads.unpivot([label], names, "series", "value")
+        if seen[wanted] > 1:
+            raise ValueError(f"the rows {wanted!r} contradict each other")
+    cells = F.array(*[F.struct(F.lit(n).alias("series"), F.col(f"`{n}`").alias("value")) for n in names])
+    tall = heads.select("_label", F.explode(cells).alias("_c")).select("_label", "_c.series", "_c.value")
     meta = tall.groupBy("series").agg(
-        F.max(F.when(F.col(label) == SPEED_ROW, F.lower(F.trim("value")))).alias("speed"),
-        F.max(F.when(F.col(label) == CODE_ROW, F.col("value").try_cast("double").cast("int"))).alias("tcode"))
-    when = parsed_date(F.col(label))
-    checked = F.when(when.isNull(), F.raise_error(F.concat(F.lit("not a date: "), F.col(label)))).otherwise(when)
-    body = raw.where(~F.col(label).isin(SPEED_ROW, CODE_ROW) | F.col(label).isNull())
+        F.max(F.when(F.col("_label") == SPEED_ROW, F.lower(F.trim("value")))).alias("speed"),
+        F.max(F.when(F.col("_label") == CODE_ROW, F.col("value").try_cast("double").cast("int"))).alias("tcode"))
+    when = parsed_date(key)
+    checked = F.when(when.isNull(), F.raise_error(F.concat(F.lit("not a date: "), key))).otherwise(when)
+    body = raw.where(~key.isin(SPEED_ROW, CODE_ROW) | key.isNull())
     obs = body.select(checked.cast("timestamp").alias(time_col), *[F.col(f"`{n}`").try_cast("double").alias(n) for n in names])
     return meta, obs
 

@@ -18,14 +18,15 @@ from foldwise.operators.tuning import (
     custom_profile, error_profile, least_error_select, selected_params, stability_select)
 from foldwise.plans.analyses import Sample, static_effect, tuned_effect
 from foldwise.plans.spec import Design, Inference, Learner
+from foldwise.sources.frames import effect_frame
 from workload import series, sql
 from workload.registry import query, rnd
 
 # ---------------------------------------------------------------- samples
 
 
-def event_sample(spark, sf_dir, k=6, design="rcf", leads=1, keys=()):
-    """Outcome ``value``, policy ``k``, control: the value of the event before."""
+def event_sample(spark, sf_dir, k=6, design="rcf", leads=1, keys=(), step=0.0):
+    """Outcome ``value``, policy ``k``, control: the value of the event before, by ``step`` higher in the second half."""
     placed = add_position(series.events_long(spark, sf_dir).select("event_id", "user_id", "value", "k"), "event_id", keys)
     rows = ordered_select(
         placed, lambda w: [*keys, "event_id", "pos", "n_rows", "value", "k", F.lag("value", 1).over(w).alias("x"),
@@ -33,6 +34,8 @@ def event_sample(spark, sf_dir, k=6, design="rcf", leads=1, keys=()):
         keys, before=1, after=leads - 1)
     cut = F.col("n_rows") - leads
     rows = rows.where((F.col("pos") >= 1) & (F.col("pos") <= cut)).withColumns({"pos": F.col("pos") - 1, "n_rows": cut})
+    if step:
+        rows = rows.withColumn("x", F.col("x") + F.when(2 * F.col("pos") >= F.col("n_rows"), step).otherwise(0.0))
     rows = simple_design(rows, "value", "k", ["x"], k, keys, "event_id", ["value", *[f"v{h}" for h in range(1, leads)]])
     return Sample(materialize(rows), ("x",), k, tuple(keys), "event_id", design)
 
@@ -113,6 +116,15 @@ for _k in (6, 7):
     _weekly_residuals(_k)
 
 
+_STEP = f"SELECT * REPLACE (x + CASE WHEN 2 * pos >= n_rows THEN 1e7::DOUBLE ELSE 0 END AS x) FROM ({event_rows(6)})"
+
+
+@query("ols_residuals_level_shift", f"WITH {sql.residuals(_STEP, 6, _TARGETS)} SELECT pos, block_id, round(chi0, 4) AS chi0, round(xi, 4) AS xi FROM resid")
+def level_shift(spark, sf_dir):
+    """A control whose level moves by ten million halfway: digits must not be lost."""
+    return event_sample(spark, sf_dir, step=1e7).residuals().select("pos", "block_id", rnd("chi0", 4), rnd("xi", 4))
+
+
 @query("per_fold_learners_events", "WITH " + sql.residuals(
     event_rows(6), 6, _TARGETS, "lasso", "(CASE WHEN eq = 'xi' THEN 0.5 * fold ELSE 6.0 - fold END)")
     + " SELECT pos, block_id, round(chi0, 6) AS chi0, round(xi, 6) AS xi FROM resid")
@@ -143,9 +155,9 @@ def lead_residuals(spark, sf_dir):
     return resid.select("pos", "block_id", rnd("xi"), *[rnd(f"chi{h}") for h in range(4)])
 
 
-@query("crossfit_boosted_trees_weekly")
-def boosted(spark, sf_dir):
-    """Learners from the Spark library: one model per fold, equation and side."""
+@query("crossfit_tree_weekly")
+def library_tree(spark, sf_dir):
+    """Learners from the Spark library: one tree per fold, equation and side."""
     from pyspark.ml.regression import DecisionTreeRegressor
 
     sample = weekly_sample(spark, sf_dir, 4)
@@ -322,12 +334,12 @@ for _kernel in ("bartlett", "qs", "parzen", "ewc"):
   l AS (SELECT *, unnest(range(0, 6)) AS lag FROM r),
   p AS (SELECT l.lag, l.n, sum(l.s0 * b.s0) AS p00, sum(l.s0 * b.s1 + l.s1 * b.s0) / 2 AS p01, sum(l.s1 * b.s1) AS p11
     FROM l JOIN r b ON b.rn = l.rn - l.lag GROUP BY ALL)
-  SELECT max(n) AS n_obs, {', '.join(f"round(sum(CASE WHEN lag = 0 THEN 1 ELSE 2 * (1 - lag / 6.0::DOUBLE) END * p{a}) / max(n), 4) AS lrv_{a[0]}_{a[1]}" for a in ('00', '01', '11'))}
+  SELECT max(n) AS n_obs, 5 AS bandwidth, {', '.join(f"round(sum(CASE WHEN lag = 0 THEN 1 ELSE 2 * (1 - lag / 6.0::DOUBLE) END * p{a}) / max(n), 4) AS lrv_{a[0]}_{a[1]}" for a in ('00', '01', '11'))}
   FROM p""")
 def lrv_matrix(spark, sf_dir):
     placed = add_position(series.events_long(spark, sf_dir).select("event_id", "value", "k"), "event_id")
     out = lrv(placed, ["value", "k"], bandwidth=5)
-    return out.select("n_obs", rnd("lrv_0_0", 4), rnd("lrv_0_1", 4), rnd("lrv_1_1", 4))
+    return out.select("n_obs", "bandwidth", rnd("lrv_0_0", 4), rnd("lrv_0_1", 4), rnd("lrv_1_1", 4))
 
 
 @query("lrv_long_bandwidth", f"""WITH {sql.lrv(f"SELECT event_id AS pos, value AS s FROM ({sql.EVENTS})", "bartlett", "ceil(1.3 * sqrt(n))")}
@@ -338,6 +350,19 @@ def lrv_long(spark, sf_dir):
         "n_obs", "bandwidth", rnd("lrv_0_0", 4))
 
 
+def _long_query(kernel):
+    @query(f"lrv_{kernel}_long", f"""WITH {sql.lrv(f"SELECT event_id AS pos, value AS s FROM ({sql.EVENTS})", kernel, "ceil(1.3 * sqrt(n))")}
+      SELECT n AS n_obs, width AS bandwidth, round(v, 4) AS lrv_0_0 FROM lrv""")
+    def run(spark, sf_dir):
+        placed = add_position(series.events_long(spark, sf_dir).select("event_id", "value"), "event_id")
+        return lrv(placed, ["value"], kernel=kernel, bandwidth=rule_bandwidth("lls_nw", F.col("n_obs"))).select(
+            "n_obs", "bandwidth", rnd("lrv_0_0", 4))
+
+
+for _kernel in ("qs", "parzen"):
+    _long_query(_kernel)
+
+
 @query("bandwidth_rules_users", f"""WITH c AS (SELECT user_id, event_id, value - avg(value) OVER (PARTITION BY user_id) AS s FROM ({sql.EVENTS})),
   l AS (SELECT *, lag(s) OVER (PARTITION BY user_id ORDER BY event_id) AS o FROM c),
   a AS (SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 3 AND avg(s * s) >= 1e-12 THEN least(greatest(sum(s * o) / sum(o * o), -0.97), 0.97) END AS r
@@ -428,6 +453,86 @@ _stage2_query("stage2_long_bandwidth", Inference(rule="lls_nw"), sql.stage2_bloc
 _stage2_query("stage2_fixed_bandwidth", Inference(rule="fixed", value=12), sql.stage2_block(_RAW, width="12"))
 
 
+#: Whole designs over chunks far shorter than the table, beside the same SQL.
+SHORT_CHUNKS = 1000
+
+
+def _chunk_queries(kernel):
+    @query(f"stage2_chunks_{kernel}", _effect_sql(sql.stage2_block(_RAW, kernel)))
+    def run(spark, sf_dir):
+        return _effect_out(stage2(raw_residuals(spark, sf_dir), Inference(kernel=kernel), chunk_rows=SHORT_CHUNKS))
+
+    @query(f"lrv_chunks_{kernel}", f"""WITH {sql.lrv(f"SELECT event_id AS pos, value AS s FROM ({sql.EVENTS})", kernel, sql.DEFAULT_WIDTH[kernel])}
+      SELECT n AS n_obs, width AS bandwidth, round(v, 5) AS lrv_0_0 FROM lrv""")
+    def variance(spark, sf_dir):
+        placed = add_position(series.events_long(spark, sf_dir).select("event_id", "value"), "event_id")
+        return lrv(placed, ["value"], kernel=kernel, chunk_rows=SHORT_CHUNKS).select("n_obs", "bandwidth", rnd("lrv_0_0", 5))
+
+
+for _kernel in ("bartlett", "qs", "parzen", "ewc"):
+    _chunk_queries(_kernel)
+
+
+@query("lrv_chunks_long", f"""WITH {sql.lrv(f"SELECT event_id AS pos, value AS s FROM ({sql.EVENTS})", "bartlett", "ceil(1.3 * sqrt(n))")}
+  SELECT n AS n_obs, width AS bandwidth, round(v, 4) AS lrv_0_0 FROM lrv""")
+def lrv_chunks_long(spark, sf_dir):
+    placed = add_position(series.events_long(spark, sf_dir).select("event_id", "value"), "event_id")
+    return lrv(placed, ["value"], bandwidth=rule_bandwidth("lls_nw", F.col("n_obs")), chunk_rows=SHORT_CHUNKS).select(
+        "n_obs", "bandwidth", rnd("lrv_0_0", 4))
+
+
+_FLAT = f"SELECT * REPLACE (CASE WHEN block_id = 2 THEN 3.0::DOUBLE ELSE xi END AS xi) FROM ({_RAW})"
+
+
+def _flat_fold(name, spec, **more):
+    """A fold whose policy residual is constant has no slope; the others are as if it were not there."""
+    kernel = more.pop("kernel", "bartlett")
+
+    @query(f"stage2_constant_fold_{name}", _effect_sql(sql.stage2_block(_FLAT, kernel, **more)))
+    def run(spark, sf_dir):
+        rows = raw_residuals(spark, sf_dir)
+        rows = rows.withColumn("xi", F.when(F.col("block_id") == 2, 3.0).otherwise(F.col("xi")))
+        return _effect_out(stage2(rows, spec, chunk_rows=SHORT_CHUNKS))
+
+
+_flat_fold("bartlett", Inference(rule="fixed", value=5), width="5")
+_flat_fold("long", Inference(rule="fixed", value=80), width="80")
+_flat_fold("ewc", Inference(kernel="ewc"), kernel="ewc")
+
+_HOLES = f"SELECT * FROM (SELECT event_id AS pos, block_id, value AS chi, k AS xi, click FROM ({sql.blocked(sql.numbered(sql.EVENTS, 'event_id'), 6)})) WHERE click = 0"
+
+
+@query("stage2_missing_residuals", _effect_sql(sql.stage2_block(_HOLES)))
+def missing_residuals(spark, sf_dir):
+    """Rows without a residual (here: clicks) take no part and are not counted."""
+    placed = add_position(series.events_long(spark, sf_dir).select("event_id", "value", "k", "click"), "event_id", n_blocks=6)
+    missing = F.when(F.col("value") > 0, F.lit(float("nan")))  # NaN and NULL are both missing
+    chi = F.when(F.col("click") == 1, missing).otherwise(F.col("value"))
+    rows = placed.select("event_id", "pos", "n_rows", "block_id", chi.alias("chi"), F.col("k").alias("xi"))
+    return _effect_out(stage2(rows, Inference(), chunk_rows=SHORT_CHUNKS))
+
+
+_stage2_query("stage2_kernel_names", Inference(kernel="Newey-West", rule="NW1994"),
+              sql.stage2_block(_RAW, width="floor(4 * pow(n / 100.0::DOUBLE, 2.0::DOUBLE / 9))"))
+
+_BISECT = f"""{sql.stage2_block(_RAW, "ewc", "floor(0.4 * pow(n, 2.0 / 3.0))")}, bis AS (SELECT 0 AS i, 0.0::DOUBLE AS lo, 64.0::DOUBLE AS hi, width AS df FROM effect
+  UNION ALL SELECT i + 1, CASE WHEN p > 0.05 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE (lo + hi) / 2 END, df
+  FROM (SELECT *, {sql.t_p("((lo + hi) / 2)", "df")} AS p FROM bis WHERE i < 60))"""
+
+
+@query("stage2_fixed_b_ewc", _effect_sql(_BISECT, crit="(SELECT max(lo) FROM bis)").replace("WITH ", "WITH RECURSIVE ", 1))
+def fixed_b_ewc(spark, sf_dir):
+    """Cosine errors with Student's t of as many degrees of freedom as terms."""
+    return _effect_out(stage2(raw_residuals(spark, sf_dir), Inference(kernel="ewc", rule="lls_ewc", fixed_b=True)))
+
+
+@query("effect_frame_events", f"""WITH {sql.stage2_block(_RAW)} SELECT round(coef, 7) AS coefficient, round(std_error, 7) AS std_error,
+  round(abs(coef / std_error), 7) AS t_stat, n::BIGINT AS n_obs, k::BIGINT AS n_blocks FROM effect""")
+def effect_frame_events(spark, sf_dir):
+    row = effect_frame(stage2(raw_residuals(spark, sf_dir), Inference()))
+    return row.select(rnd("coefficient", 7), rnd("std_error", 7), rnd("t_stat", 7), "n_obs", "n_blocks")
+
+
 def _full_ctes(kernel, width):
     return f"""s2 AS (SELECT * FROM ({_RAW}) WHERE block_id IS NOT NULL), fit AS (SELECT count(*) AS nn, {sql.line_cols(True)} FROM s2),
       {sql.lrv("SELECT pos, (xi - center) * (chi - a - b * xi) AS s FROM s2, fit", kernel, width)},

@@ -39,6 +39,24 @@ def read_wide(spark, sf_dir):
         F.when(F.col("series").like("avg%"), F.round("value", 10)).otherwise(F.round("value", 4)).alias("value"))
 
 
+_DIRTY = "CASE WHEN n_lines % 7 = 3 THEN NULL ELSE round({c}, 4) END"
+
+
+@query("read_metadata_dirty", f"""WITH w AS ({sql.sales()}) SELECT {sql.DAY}, {_DIRTY.format(c='revenue')} AS revenue, round(qty, 4) AS "qty_total" FROM w""")
+def read_dirty(spark, sf_dir):
+    """Cells that are no numbers become NULL; a header may hold dots; every file repeats the two describing rows."""
+    weekly = series.sales(spark, sf_dir)
+    path = f"{shared_folder(spark)}/wide-{uuid.uuid4().hex}"
+    text = wide_with_metadata(weekly.select("ts", "revenue", "qty", "n_lines"), {"revenue": "slow", "qty": "fast"}, {"revenue": 5, "qty": 1})
+    bad = weekly.where("n_lines % 7 = 3").select(F.date_format("ts", "yyyy-MM-dd").alias("ts"), F.lit("n/a").alias("_bad"))
+    joined = text.join(bad, "ts", "left").select("ts", F.coalesce("_bad", "revenue").alias("revenue"), F.col("qty").alias("qty.total"))
+    labels = joined.where("ts in ('speed', 'Transform:')")
+    for part in (joined.where("ts < '1995'").unionByName(labels), joined.where("ts >= '1995' or ts is null").unionByName(labels)):
+        part.distinct().write.mode("append").csv(path, header=True)
+    _, obs = read_metadata_wide(spark, path)
+    return obs.select(day(), F.round("revenue", 4).alias("revenue"), F.round("`qty.total`", 4).alias("qty_total"))
+
+
 @query("event_positions", f"""WITH p AS ({sql.blocked(sql.numbered(sql.EVENTS, 'event_id'), 7)})
   SELECT event_id, value, k, pos, n_rows, block_id FROM p""")
 def event_positions(spark, sf_dir):
@@ -251,15 +269,16 @@ def gaps_users(spark, sf_dir):
     return calendar_gaps(placed, "ts", ["user_id"]).select("user_id", day("gap_from"), day("gap_to"), "step_days", "median_days")
 
 
-_SUPPLIER_ONE = "SELECT l_shipdate AS ts, sum(l_quantity) AS qty FROM lineitem WHERE l_discount >= 0.1 AND l_quantity >= 45 GROUP BY 1"
+_SUPPLIER_DAYS = "SELECT l_suppkey, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, sum(l_quantity) AS qty FROM lineitem GROUP BY 1, 2"
 
 
-@query("calendar_gaps_bulk_days", _gap_sql(_SUPPLIER_ONE))
+@query("calendar_gaps_bulk_days", _gap_sql(_SUPPLIER_DAYS, "l_suppkey"))
 def gaps_bulk(spark, sf_dir):
-    """Days without a large, deeply discounted line."""
-    lines = series.table(spark, sf_dir, "lineitem").where("l_discount >= 0.1 and l_quantity >= 45")
-    days = lines.groupBy(F.col("l_shipdate").alias("ts")).agg(F.sum("l_quantity").alias("qty"))
-    return calendar_gaps(add_position(days, "ts"), "ts").select(day("gap_from"), day("gap_to"), "step_days", "median_days")
+    """Long spells without a line, by supplier, over all lines."""
+    lines = series.table(spark, sf_dir, "lineitem")
+    days = lines.groupBy("l_suppkey", series.bucket("day", "l_shipdate").alias("ts")).agg(F.sum("l_quantity").alias("qty"))
+    placed = add_position(days, "ts", ["l_suppkey"])
+    return calendar_gaps(placed, "ts", ["l_suppkey"]).select("l_suppkey", day("gap_from"), day("gap_to"), "step_days", "median_days")
 
 
 @query("fold_blocks_events", f"""WITH p AS ({sql.blocked(sql.numbered(sql.EVENTS, 'event_id'), 7)})

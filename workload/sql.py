@@ -143,7 +143,8 @@ def stage2_block(rows: str, kernel: str = "bartlett", width: str | None = None,
     scores = f"""SELECT {sel}r.pos, r.xi * (r.chi - f.a - t.theta * r.xi) AS s, t.k FROM s2 r
       JOIN fits f ON r.block_id = f.block_id{on_f} JOIN theta t ON {on_t}"""
     return f"""s2 AS (SELECT * FROM ({rows}) WHERE block_id IS NOT NULL),
-      fits AS (SELECT {key}block_id, count(*) AS n, {line_cols(intercept)}, sum(xi * xi) AS sq FROM s2 GROUP BY {key}block_id),
+      fits AS (SELECT * FROM (SELECT {key}block_id, count(*) AS n, {line_cols(intercept)}, sum(xi * xi) AS sq FROM s2 GROUP BY {key}block_id)
+        WHERE sxx > 0),
       theta AS (SELECT {key}avg(b) AS theta, count(*) AS k, sum(n) AS nn, sum(sq) / sum(n) AS jac,
         sqrt(sum(sse / df / sxx)) / count(*) AS se_avg FROM fits {'GROUP BY ' + by if by else ''}),
       {lrv(scores, kernel, width or DEFAULT_WIDTH[kernel], 'k', by)},
