@@ -30,7 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from foldwise.llm.tables import components, small_side
 from foldwise.llm.words import Words, constants, distinct_sets, lists, minhashes, shingles, slices
@@ -44,7 +43,7 @@ FINE_ORDERS = 512
 SIGMAS = 4.5
 
 
-def _sets(batches, id_kind, shingle_words, lower, give):
+def _sets(batches, shingle_words, lower, give):
     """Per slice of documents: ids, word sets and their bounds, for ``give``."""
     for batch in batches:
         ids = batch.column(0)
@@ -57,7 +56,7 @@ def _sets(batches, id_kind, shingle_words, lower, give):
 
 def signatures(docs: DataFrame, shingle_words: int, lower: bool = True, orders: int = ORDERS) -> DataFrame:
     """``id, n_shingles, key, key2, tokens, marks`` per row: set size, two hashes of the set, minwise tokens, their last bytes."""
-    kind, seeds = to_arrow_type(docs.schema["id"].dataType), constants(21, orders)
+    seeds = constants(21, orders)
 
     def give(ids, flat, edges):
         n = np.diff(edges)
@@ -79,7 +78,7 @@ def signatures(docs: DataFrame, shingle_words: int, lower: bool = True, orders:
                                           ["id", "n_shingles", "key", "key2", "tokens", "marks"])
 
     return docs.select("id", "text").mapInArrow(
-        lambda batches: _sets((b.set_column(0, "id", b.column(0).cast(kind)) for b in batches), kind, shingle_words, lower, give),
+        lambda batches: _sets(batches, shingle_words, lower, give),
         f"id {docs.schema['id'].dataType.simpleString()}, n_shingles long, key long, key2 long, tokens binary, marks binary")
 
 
@@ -88,7 +87,7 @@ def full_sets(docs: DataFrame, shingle_words: int, lower: bool = True) -> DataFr
     def give(ids, flat, edges):
         return pa.RecordBatch.from_arrays([ids, lists(flat, edges)], ["id", "set"])
 
-    return docs.select("id", "text").mapInArrow(lambda batches: _sets(batches, None, shingle_words, lower, give),
+    return docs.select("id", "text").mapInArrow(lambda batches: _sets(batches, shingle_words, lower, give),
                                                 f"id {docs.schema['id'].dataType.simpleString()}, set array<bigint>")
 
 
@@ -103,7 +102,7 @@ def fine_marks(docs: DataFrame, shingle_words: int, orders: int = FINE_ORDERS) -
         return pa.RecordBatch.from_arrays([ids.take(pa.array(some)), pa.array([t.tobytes() for t in tokens], type=pa.binary()),
                                            pa.array(sets, type=pa.binary())], ["item", "fine", "set"])
 
-    return docs.select("id", "text").mapInArrow(lambda batches: _sets(batches, None, shingle_words, True, give),
+    return docs.select("id", "text").mapInArrow(lambda batches: _sets(batches, shingle_words, True, give),
                                                 f"item {docs.schema['id'].dataType.simpleString()}, fine binary, set binary")
 
 

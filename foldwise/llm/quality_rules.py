@@ -109,4 +109,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     names = docs.columns
     judged = docs.withColumns({"_text_": F.col(text_col)}).withColumn("_row_", F.struct(*[F.col(f"`{c}`") for c in names]))
     verdict = quality_rules(judged.select(F.col("_row_"), F.col("_text_")), "_row_", "_text_", **limits)
-    return verdict.where("kept").select(*[F.col("_row_")[c].alias(c) for c in names])
+    # A row number in the condition keeps the filter above the projection: pushed below it, every
+    # measure would be written out again wherever another one uses it.
+    numbered = verdict.withColumn("_number_", F.monotonically_increasing_id())
+    return numbered.where("kept and _number_ >= 0").select(*[F.col("_row_")[c].alias(c) for c in names])
