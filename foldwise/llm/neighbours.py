@@ -14,7 +14,8 @@ The number of probes is fitted on a bounded sample (``sample`` vectors) for the
 wanted recall; all vectors are indexed.  Equal vectors are one index entry that keeps
 the few smallest ids, which are all a nearest list can show.  Candidates never become
 rows: a task reads a cell's queries, then its vectors in blocks, multiplies the two
-and keeps each query's best.
+and keeps each query's best. A query whose cells hold too few candidates for a full list
+is compared with all vectors instead, some thousand such queries at a time.
 
 Defined results: vectors that are NULL, zero, of another length than the longest or
 hold NULL or non-finite numbers take no part, as do NULL ids; ties go to the smaller
@@ -35,6 +36,8 @@ from foldwise.llm.tables import small_side
 from foldwise.operators.storage import materialize
 
 BLOCK = 4096
+#: Queries that are compared with all vectors at once, where cells held too few candidates.
+SCAN_QUERIES = 4096
 
 
 class Tables:
@@ -140,18 +143,65 @@ def _indexer(tables: Tables, probes: int):
     return run
 
 
-def _ranker(keep: int):
-    """Best candidates of each query over the cells of a partition, sorted by table, cell and side."""
+def _offer(best: dict, names: list, q: np.ndarray, ids: np.ndarray, block: np.ndarray, keep: int) -> None:
+    """Add to ``best`` what each query finds among the vectors of a block: exact cosines of its top ``keep``."""
+    length = np.sqrt((block * block).sum(axis=1))
+    near = (q @ block.T) / length
+    for i, name in enumerate(names):
+        scores = near[i]
+        limit = np.partition(scores, -keep)[-keep] if len(scores) > keep else -np.inf
+        some = np.flatnonzero(scores >= limit - 1e-9 * abs(limit) if np.isfinite(limit) else scores >= limit)
+        exact = (block[some] * q[i]).sum(axis=1) / (np.sqrt((q[i] * q[i]).sum()) * length[some])
+        found = best.setdefault(name, {})
+        found.update(zip(ids[some].tolist(), exact.tolist()))
+        if len(found) > 4 * keep:
+            best[name] = dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:keep])
+
+
+def _rows(best: dict) -> pa.RecordBatch:
+    out = [(q, c, s) for q, found in best.items() for c, s in found.items()]
+    best.clear()
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))],
+                                      ["query", "candidate", "score"])
+
+
+def _scan(names: list, q: np.ndarray, keep: int):
+    """The best candidates of a bounded set of queries among all vectors of a partition."""
     def run(batches):
         best: dict[int, dict] = {}
-        cell, asked, names = None, [], np.zeros((0, 0))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(lo, BLOCK)
+                _offer(best, names, q, part.column(0).to_numpy(), _vectors(part.column(1)), keep)
+        if best:
+            yield _rows(best)
+
+    return run
+
+
+def _completed(found: DataFrame, index: DataFrame, keep: int) -> DataFrame:
+    """``found`` with the full lists of queries whose cells held fewer than ``keep`` candidates.
+
+    Such queries are compared with all vectors, ``SCAN_QUERIES`` at a time.
+    """
+    need = min(keep, index.count())
+    enough = found.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
+    short = materialize(index.where("asks").join(enough, F.col("id") == F.col("query"), "left_anti").select("id", "vector"))
+    rounds = -(-short.count() // SCAN_QUERIES)
+    for k in range(rounds):
+        rows = short.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == k).collect()
+        if rows:
+            more = index.select("id", "vector").mapInArrow(_scan([r["id"] for r in rows], np.array([r["vector"] for r in rows]), keep),
+                                                           "query long, candidate long, score double")
+            found = found.unionByName(more)
+    return found.dropDuplicates(["query", "candidate"]) if rounds else found
 
-        def rows():
-            out = [(q, c, s) for q, found in best.items() for c, s in found.items()]
-            best.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))],
-                                              ["query", "candidate", "score"])
 
+def _ranker(keep: int):
+    """Best candidates of each query over the cells of a partition, sorted by table, cell and side."""
+    def run(batches):
+        best: dict[int, dict] = {}
+        cell, asked, names = None, [], []
         for batch in batches:
             table, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             side, ids = batch.column(2).to_numpy(), batch.column(3).to_numpy()
@@ -166,23 +216,12 @@ def _ranker(keep: int):
                 for lo in range(a, b, BLOCK) if asked else ():
                     hi = min(b, lo + BLOCK)
                     block = np.stack([np.frombuffer(v.as_buffer(), dtype=np.float64) for v in batch.column(4).slice(lo, hi - lo)])
-                    length = np.sqrt((block * block).sum(axis=1))
                     for at in range(0, len(asked), BLOCK):
-                        q = np.stack(asked[at:at + BLOCK])
-                        near = (q @ block.T) / length
-                        for i, name in enumerate(names[at:at + BLOCK]):
-                            scores = near[i]
-                            limit = np.partition(scores, -keep)[-keep] if len(scores) > keep else -np.inf
-                            some = np.flatnonzero(scores >= limit - 1e-9 * abs(limit) if np.isfinite(limit) else scores >= limit)
-                            exact = (block[some] * q[i]).sum(axis=1) / (np.sqrt((q[i] * q[i]).sum()) * length[some])
-                            found = best.setdefault(name, {})
-                            found.update(zip(ids[lo:hi][some].tolist(), exact.tolist()))
-                            if len(found) > 4 * keep:
-                                best[name] = dict(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:keep])
+                        _offer(best, names[at:at + BLOCK], np.stack(asked[at:at + BLOCK]), ids[lo:hi], block, keep)
                     if len(best) > 50_000:
-                        yield rows()
+                        yield _rows(best)
         if best:
-            yield rows()
+            yield _rows(best)
 
     return run
 
@@ -205,10 +244,11 @@ def nearest_periods(sample: DataFrame, queries: Column, id_col: str = "pos", vec
     index = materialize(index.dropDuplicates(["id"]))
     fitted = index.orderBy(F.xxhash64("id")).limit(sample_size).select("vector").collect()
     hasher = Tables(max(longest, 1), tables, hashes, width)
-    probes = fit_probes(np.array([r[0] for r in fitted]).reshape(len(fitted), -1), hasher, recall, k)
+    probes = fit_probes(np.array([r[0] for r in fitted], dtype=float).reshape(len(fitted), max(longest, 1)), hasher, recall, k)
     placed = index.select("id", "vector", "asks").mapInArrow(_indexer(hasher, probes), "table int, cell long, side int, id long, vector binary")
     met = placed.repartition("table", "cell").sortWithinPartitions("table", "cell", "side")
     found = met.mapInArrow(_ranker(k + 1), "query long, candidate long, score double").dropDuplicates(["query", "candidate"])
+    found = _completed(materialize(found), index, k + 1)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
     best = materialize(found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k + 1))
     named = best.join(small_side(entries.select(F.col("entry").alias("candidate"), "ids")), "candidate")
