@@ -29,14 +29,16 @@ def log_beta(a, b):
     return np.where(big, far, _lgamma(small) + _lgamma(large) - _lgamma(small + large))
 
 
-def beta_tail(x, a, b):
-    """Regularised incomplete beta function, by its continued fraction."""
-    x, a, b = np.broadcast_arrays(*[np.asarray(v, float) for v in (x, a, b)])
+def beta_tail(x, a, b, rest=None):
+    """Regularised incomplete beta function, by its continued fraction; ``rest`` is ``1 - x`` where that has more digits."""
+    rest = 1 - np.asarray(x, float) if rest is None else rest
+    x, a, b, rest = np.broadcast_arrays(*[np.asarray(v, float) for v in (x, a, b, rest)])
     flip = x > (a + 1) / (a + b + 2)
-    x, a, b = np.where(flip, 1 - x, x), np.where(flip, b, a), np.where(flip, a, b)
+    x, rest, a, b = np.where(flip, rest, x), np.where(flip, x, rest), np.where(flip, b, a), np.where(flip, a, b)
     tiny = 1e-300
     with np.errstate(all="ignore"):
-        front = np.exp(-log_beta(a, b) + a * np.log(x) + b * np.log1p(-x)) / a
+        front = np.exp(-log_beta(a, b) + a * np.where(rest < 0.5, np.log1p(-rest), np.log(x))
+                       + b * np.where(x < 0.5, np.log1p(-x), np.log(rest))) / a
         c = np.ones_like(x)
         d = 1 - (a + b) * x / (a + 1)
         d = 1 / np.where(np.abs(d) < tiny, tiny, d)
@@ -93,7 +95,10 @@ def gamma_tail(a, x):
 
 def t_two_sided(t, df):
     t, df = np.asarray(t, float), np.asarray(df, float)
-    return beta_tail(df / (df + t * t), df / 2, 0.5)
+    # With very many degrees of freedom the fraction loses digits; a normal value corrected to order 1/df has them.
+    near = np.minimum(df, 1e6)
+    z = np.sqrt(df * np.log1p(t * t / df)) * (8 * df + 1) / (8 * df + 3)
+    return np.where(df > 1e6, _erfc(z / math.sqrt(2)), beta_tail(near / (near + t * t), near / 2, 0.5, t * t / (near + t * t)))
 
 
 def t_quantile(level, df):

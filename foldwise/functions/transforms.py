@@ -5,27 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-# The transformation codes and what each one does.
-TRANSFORM_CODES = {
-    1: "level",
-    2: "difference",
-    3: "second difference",
-    4: "log",
-    5: "log difference, x100",
-    6: "second difference of log",
-    7: "growth, x100",
-    8: "log difference over 12",
-    81: "log difference over 4",
-    9: "ratio to the smooth trend",
-    10: "difference over 12",
-    101: "difference over 4",
-    11: "growth over 12, x100",
-    111: "growth over 4, x100",
-}
-
-# How many earlier rows a code reads.
+# The known codes, and how many earlier rows each one reads.
 ROWS_BACK = {1: 0, 2: 1, 3: 2, 4: 0, 5: 1, 6: 2, 7: 1, 8: 12, 81: 4, 9: 0, 10: 12, 101: 4, 11: 12, 111: 4}
 
+TRANSFORM_CODES = tuple(ROWS_BACK)
 TREND_CODE = 9
 
 

@@ -19,7 +19,7 @@ def edge_rows(resid: DataFrame, column: str, n_blocks: int, max_lag: int = 2, ke
     block, so the window by key stays small however long the series is.
     """
     if max_lag < 1:
-        raise ValueError("max_lag must be at least 1")
+        raise ValueError(f"{max_lag} lags asked for; one is the least")
     keys, m = list(keys), max_lag
     size = F.greatest(F.floor(F.col("n_rows") / n_blocks), F.lit(1))
     inside, last = F.col("pos") % size, F.floor(F.col("n_rows") / size) * size

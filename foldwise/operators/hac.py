@@ -2,7 +2,8 @@
 
 Every estimate is an aggregate over products of a row with its ``H`` predecessors.
 Bandwidths may differ by key; short ones use lag columns on overlapping chunks,
-long Bartlett ones use differences of running sums, whose cost does not grow with ``H``.
+long Bartlett ones use differences of running sums, whose cost does not grow with ``H``,
+and other long kernels take all lags of a chunk from one Fourier transform.
 """
 
 from __future__ import annotations

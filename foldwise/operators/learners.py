@@ -128,15 +128,34 @@ def descend(sxx, sxy, l1: float, l2: float, w: np.ndarray) -> np.ndarray:
     return w
 
 
+def least_squares(sxx: np.ndarray, sxy: np.ndarray) -> np.ndarray:
+    """Weights of ordinary least squares; of many solutions the shortest.
+
+    Rank is judged on columns of equal spread, so that one column of a far larger
+    spread does not hide the others.
+    """
+    spread = np.sqrt(np.diag(sxx))
+    on = spread > 0
+    if not on.any():
+        return np.zeros(len(sxy))
+    alike = sxx[np.ix_(on, on)] / np.outer(spread[on], spread[on])
+    values, vectors = np.linalg.eigh(alike)
+    if values[0] <= 1e-11 * values[-1]:
+        return np.linalg.pinv(sxx, rcond=1e-11, hermitian=True) @ sxy
+    w = np.zeros(len(sxy))
+    w[on] = vectors @ (vectors.T @ (sxy[on] / spread[on]) / values) / spread[on]
+    return w
+
+
 def weights(gram: np.ndarray, p: int, target: int, kind: str, penalty: float, share: float, level: np.ndarray, start=None):
     """``[intercept, w...]`` in the columns of ``gram``, which are shifted by ``level``."""
     if kind not in KINDS:
         raise ValueError(f"unknown learner {kind!r}; known: {KINDS}")
     n, means, sxx, sxy = centred(gram, p, target, level)
     if kind == "ols":
-        w = np.linalg.pinv(sxx, rcond=1e-11, hermitian=True) @ sxy if p else np.zeros(0)
+        w = least_squares(sxx, sxy)
     elif kind == "ridge":
-        w = np.linalg.solve(sxx + penalty * np.eye(p), sxy) if penalty else np.linalg.pinv(sxx, hermitian=True) @ sxy
+        w = np.linalg.solve(sxx + penalty * np.eye(p), sxy) if penalty else least_squares(sxx, sxy)
     else:
         share = 1.0 if kind == "lasso" else share
         w = np.zeros(p) if start is None else start.copy()

@@ -1,5 +1,7 @@
 """Folds, residuals, tuning, long-run variance and effects against row-wise numpy."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,11 +9,12 @@ import rowwise as R
 from pyspark.sql import functions as F
 
 import foldwise.operators.gram as gram_module
+from foldwise.functions.dist import beta_tail, log_beta, t_quantile, t_two_sided
 from foldwise.operators.crossfit import crossfit_ml, fold_plan, learner_table
 from foldwise.operators.design import simple_design
 from foldwise.operators.folds import check_folds, fold_membership, fold_table, sample_use
 from foldwise.operators.hac import kernel_named, lrv, rule_bandwidth
-from foldwise.operators.learners import descend
+from foldwise.operators.learners import descend, merged
 from foldwise.operators.position import add_position
 from foldwise.operators.stage2 import block_statistics, stage2
 from foldwise.operators.tuning import (
@@ -287,3 +290,52 @@ def test_flat_policy_gives_an_empty_row(spark):
     got = {r["block_id"]: r for r in block_statistics(df, lag=1).collect()}
     assert got[0]["coefficient"] == 0 and got[0]["std_error"] is None and got[0]["df"] == 0
     assert got[1]["std_error"] is not None
+
+
+def test_a_step_costs_no_digits(spark):
+    x, y, d = arrays(240, seed=5)
+    far = x.copy()
+    far[120:, 1] += 1e7
+    got = frame(sample(spark, far, y, d, 6).residuals())
+    np.testing.assert_allclose(got["chi0"], R.cross_residuals(far, y, 6, R.ols), atol=1e-5)
+
+
+def test_merged_blocks_equal_all_rows():
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(90, 3)) + 1e8 * np.array([1.0, 0.0, -1.0])
+    z[60:] += 1e7
+    parts = []
+    for block in (z[:30], z[30:60], z[60:]):
+        anchor = block.mean(axis=0)
+        one = np.column_stack([np.ones(len(block)), block - anchor])
+        parts.append((one.T @ one, anchor))
+    g, centre = merged(parts)
+    np.testing.assert_allclose(centre, z.mean(axis=0), rtol=1e-15)
+    np.testing.assert_allclose(g[1:, 1:], (z - z.mean(axis=0)).T @ (z - z.mean(axis=0)), rtol=1e-6)
+
+
+def test_a_fold_without_learner_is_an_error(spark):
+    x, y, d = arrays(60)
+    s = sample(spark, x, y, d, 3)
+    learners = learner_table(spark, 3).where("not (fold = 1 and equation = 'outcome')")
+    with pytest.raises(Exception, match="no outcome learner is left for fold 1"):
+        s.residuals(learners)
+
+
+def test_unfinished_descent_is_an_error(monkeypatch):
+    import foldwise.operators.learners as learners_module
+
+    monkeypatch.setattr(learners_module, "MAX_SWEEPS", 1)
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=(50, 4)) @ rng.normal(size=(4, 4))
+    g = z.T @ z / 50
+    with pytest.raises(np.linalg.LinAlgError):
+        learners_module.descend(g[:3, :3], g[:3, 3], 1e-6, 0.0, np.zeros(3))
+
+
+def test_tails_far_out():
+    assert t_quantile(0.99999, 1) == pytest.approx(63661.977, rel=1e-6)
+    assert float(t_two_sided(1.96, 1e12)) == pytest.approx(0.04999579, rel=1e-6)
+    for df in (3, 40, 199.0, 201.0, 4000):
+        assert float(t_two_sided(2.0, df)) == pytest.approx(float(beta_tail(df / (df + 4.0), df / 2, 0.5)))
+    assert float(log_beta(150.0, 0.5)) == pytest.approx(math.lgamma(150) + math.lgamma(0.5) - math.lgamma(150.5), rel=1e-12)

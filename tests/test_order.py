@@ -61,6 +61,33 @@ def test_exact_quantiles(spark):
         np.testing.assert_allclose(got.loc[k, ["q25", "q50", "q75"]], np.quantile(part["x"], [0.25, 0.5, 0.75]))
 
 
+def test_quantiles_of_tied_values(spark):
+    values = [0.0] * 900 + [1.0] * 90 + [float(v) for v in range(2, 12)]
+    df = spark.createDataFrame([(k, v) for k in ("a", "b") for v in values], "k string, x double").repartition(8)
+    got = exact_quantiles(df, "x", [0.25, 0.5, 0.9, 0.99, 0.995], ["k"]).toPandas().set_index("k")
+    for k in ("a", "b"):
+        np.testing.assert_allclose(got.loc[k, ["q25", "q50", "q90", "q99"]], np.quantile(values, [0.25, 0.5, 0.9, 0.99]))
+    alone = exact_quantiles(df.where("x < 2"), "x", [0.5]).first()
+    assert alone["q50"] == 0.0
+    # Ties meet in partial sums: no task sorts more rows than there are different values.
+    plan = df.where("k = 'a'").groupBy("k", "x").count()
+    assert plan.count() == len(set(values))
+
+
+def test_missing_keys_and_times_are_errors(spark):
+    from pyspark.errors import PySparkException
+
+    for rows in ([("a", 1), (None, 2)], [("a", 1), ("a", None)]):
+        df = spark.createDataFrame([(k, t, 1.0) for k, t in rows], "k string, t int, x double")
+        with pytest.raises(PySparkException, match="missing values"):
+            add_position(df, "t", ["k"])
+
+
+def test_nan_is_missing(spark):
+    df = spark.createDataFrame([(t, float("nan") if t == 2 else float(t), 1.0) for t in range(5)], "t int, y double, d double")
+    assert [r["y"] for r in from_dataframe(df, "t", "y", "d", []).orderBy("pos").collect()] == [0.0, 1.0, None, 3.0, 4.0]
+
+
 def test_gaps(spark):
     days = ["2020-01-01", "2020-01-02", "2020-01-03", "2020-01-06", "2020-01-07"]
     df = spark.createDataFrame([(d, 1.0) for d in days], "ts string, x double").withColumn("ts", F.to_timestamp("ts"))
@@ -96,6 +123,22 @@ def test_trend_system(n):
     np.testing.assert_allclose(smooth_trend(x, 14400.0), dense_trend(x, 14400.0), rtol=1e-9)
 
 
+def test_trend_of_many_pieces_at_once():
+    x = np.random.default_rng(2).normal(5, 1, (7, 33))
+    np.testing.assert_allclose(smooth_trend(x, 1600.0), [dense_trend(row, 1600.0) for row in x], rtol=1e-9)
+
+
+def test_trend_over_task_batches(spark, monkeypatch):
+    monkeypatch.setattr("foldwise.operators.trend.STACK_ROWS", 50)
+    x = np.cumsum(np.random.default_rng(4).normal(size=(3, 160)), axis=1) + 100
+    rows = [(k, t, float(x[k, t])) for k in range(3) for t in range(160 - 40 * k)]
+    df = add_position(spark.createDataFrame(rows, "k int, t int, x double"), "t", ["k"])
+    got = trend_ratio(df, "x", "r", ["k"], smoothness=1.0, chunk_rows=64).toPandas().sort_values(["k", "pos"])
+    for k in range(3):
+        own = x[k, :160 - 40 * k]
+        np.testing.assert_allclose(got[got["k"] == k]["r"], own / dense_trend(own, 1.0), rtol=1e-10)
+
+
 def test_trend_in_chunks_skips_missing_rows(spark):
     x = np.cumsum(np.random.default_rng(3).normal(size=1500)) + 200
     rows = [(t, None if t % 50 == 7 else float(v)) for t, v in enumerate(x)]
@@ -165,6 +208,15 @@ def test_metadata_csv(spark, tmp_path):
     assert meta_dicts(meta) == ({"GDP": "slow", "Rate": "fast"}, {"GDP": 5, "Rate": 2})
     got = [(str(r.ts)[:10], r.GDP, r.Rate) for r in obs.orderBy("ts").collect()]
     assert got == [("2005-06-30", 107.5, None), ("2005-09-30", 108.1, 3.25)]
+    many = tmp_path / "many"
+    many.mkdir()
+    for k in range(3):
+        (many / f"{k}.csv").write_text(f"date,U.S. GDP\nspeed,slow\nTransform:,5\n20{10 + k}-06-30,1.5\n")
+    meta, obs = read_metadata_wide(spark, str(many))
+    assert meta_dicts(meta) == ({"U.S. GDP": "slow"}, {"U.S. GDP": 5}) and obs.where("`U.S. GDP` = 1.5").count() == 3
+    (many / "3.csv").write_text("date,U.S. GDP\nspeed,slow\nTransform:,2\n2015-06-30,1\n")
+    with pytest.raises(ValueError, match="contradict"):
+        read_metadata_wide(spark, str(many))
     bad = tmp_path / "bad.csv"
     bad.write_text("date,GDP\nspeed,slow\n2005-06-30,1\n")
     with pytest.raises(ValueError, match="Transform"):

@@ -288,6 +288,33 @@ def tuned_residuals(spark, sf_dir):
     return sample.residuals(tuned, gram=gram).select("pos", "block_id", rnd("chi0"), rnd("xi"))
 
 
+_TUNED = f"""WITH {_profile_sql()}, ok AS (SELECT *, row_number() OVER p - 1 AS i, count(*) OVER (PARTITION BY fold, equation) AS n FROM profile
+    WINDOW p AS (PARTITION BY fold, equation ORDER BY grid_idx)),
+  win AS (SELECT *, CASE WHEN i <= n - 3 THEN avg(rmse) OVER f END AS m, CASE WHEN i <= n - 3 THEN var_pop(rmse) OVER f END AS v FROM ok
+    WINDOW f AS (PARTITION BY fold, equation ORDER BY grid_idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+  lim AS (SELECT fold, equation, min(m) AS m0, max(m) AS m1, min(v) AS v0, max(v) AS v1 FROM win GROUP BY 1, 2),
+  sc AS (SELECT w.*, CASE WHEN m1 - m0 > 1e-10 THEN (m - m0) / (m1 - m0) ELSE 0 END + CASE WHEN v1 - v0 > 1e-10 THEN (v - v0) / (v1 - v0) ELSE 0 END AS score
+    FROM win w JOIN lim USING (fold, equation) WHERE m IS NOT NULL),
+  st AS (SELECT fold, equation, i AS start FROM sc QUALIFY row_number() OVER (PARTITION BY fold, equation ORDER BY round(score, 12), i) = 1),
+  best AS (SELECT o.* FROM ok o JOIN st USING (fold, equation) WHERE o.i BETWEEN start AND start + 2
+    QUALIFY row_number() OVER (PARTITION BY fold, equation ORDER BY rmse, o.i) = 1),
+  full_agg AS (SELECT fold, equation, avg(t) AS my, avg(x) AS mx, covar_pop(t, x) AS c, var_pop(x) AS v FROM
+    (SELECT fold, 'outcome' AS equation, value AS t, x FROM src JOIN tr ON tr.block = src.block_id UNION ALL
+     SELECT fold, 'policy', k, x FROM src JOIN tr ON tr.block = src.block_id) GROUP BY ALL),
+  final AS (SELECT f.fold, f.equation, f.my, f.mx, {sql.soft('f.c', 'b.penalty')} / f.v AS b FROM full_agg f JOIN best b
+    ON b.fold = f.fold AND b.equation = f.equation),
+  resid AS (SELECT s.pos, s.block_id, max(CASE WHEN equation = 'outcome' THEN s.value - my - b * (s.x - mx) END) AS chi,
+    max(CASE WHEN equation = 'policy' THEN s.k - my - b * (s.x - mx) END) AS xi FROM src s JOIN final f ON f.fold = s.block_id GROUP BY ALL),
+  {sql.stage2_block("SELECT pos, block_id, chi, xi FROM resid")}"""
+
+
+@query("tuned_effect_steady_window", f"{_TUNED} SELECT round(coef, 7) AS coef, round(std_error, 7) AS std_error, n::BIGINT AS n_obs, width AS bandwidth FROM effect")
+def tuned_effect_steady(spark, sf_dir):
+    """The whole tuned estimate with the steady-window rule: curves, choice, refit, effect."""
+    out = tuned_effect(event_sample(spark, sf_dir), _LASSO_GRID, _LASSO_GRID)
+    return out.select(rnd("coef", 7), rnd("std_error", 7), "n_obs", "bandwidth")
+
+
 def wide_weekly(spark, sf_dir, horizons=0, lags=6):
     codes = {"revenue": 5, "avg_disc": 2, "n_lines": 5, "avg_tax": 1, "qty": 5, "n_returned": 2}
     spec = Design("ts", "revenue", "avg_disc", codes, fast=("n_lines", "avg_tax"), lags=lags, horizons=horizons)
