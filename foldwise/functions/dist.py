@@ -10,8 +10,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+def _lgamma(x) -> np.ndarray:
+    return np.asarray(np.frompyfunc(math.lgamma, 1, 1)(x), dtype=float)
+
+
+def _erfc(x) -> np.ndarray:
+    return np.asarray(np.frompyfunc(math.erfc, 1, 1)(x), dtype=float)
 
 
 def _stirling(z):
