@@ -7,10 +7,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foldwise.llm.near_duplicates import near_duplicates, trees_for
-from foldwise.llm.passages import cut_spans, remove_repeats, repeated_passages, tune_bands
+from foldwise.llm.near_duplicates import compare, near_duplicates, trees_for
+from foldwise.llm.passages import ORDERS, _linked, cut_spans, remove_repeats, repeated_passages, tune_bands
 from foldwise.llm.tables import components
-from foldwise.llm.words import Words, distinct_sets, shingles, slices
+from foldwise.llm.words import Words, constants, distinct_sets, minhashes, mix, shingles, slices
 
 from .helpers import documents, linked, odd_texts, prose, shingle_set, words
 
@@ -126,3 +126,45 @@ def test_copies_with_salts_and_clashing_rows(spark, monkeypatch):
     assert repeated_passages(docs.limit(0)).count() == 0
     assert cut_spans("a b  c\nd e", [(1, 3), (4, 5)]) == "a d "
     assert cut_spans("a b", [(5, 9)]) == "a b"
+
+
+def set_nodes(spark, sets, node=1):
+    """Nodes of ``_linked`` for shingle sets of numbers."""
+    seeds = constants(33, ORDERS)
+    rows = []
+    for k, x in enumerate(sets):
+        flat = np.unique(mix(np.array(sorted(x), dtype=np.uint64) + np.uint64(1)))
+        marks = (minhashes(flat, np.array([0, len(flat)]), seeds) & 255).astype(np.uint8)
+        rows.append((node, k, len(flat), bytearray(flat.tobytes()), bytearray(marks[0].tobytes()), k, True))
+    return spark.createDataFrame(rows, "node long, item long, size long, set binary, marks binary, root long, full boolean").repartition(4)
+
+
+def test_hot_bucket_is_linked_without_large_nodes(spark, monkeypatch):
+    monkeypatch.setattr("foldwise.llm.passages.LARGE_BUCKET", 32)
+    seen = []
+
+    def counted(*how):
+        seen.append(1)
+        run = compare(*how)
+
+        def guarded(batches):
+            for batch in batches:
+                nodes = np.unique(batch.column(batch.schema.get_field_index("node")).to_numpy(), return_counts=True)[1]
+                assert nodes.max(initial=0) <= 64, "a task compares a hot bucket in full"
+                yield from run(iter([batch]))
+
+        return guarded
+
+    monkeypatch.setattr("foldwise.llm.passages.compare", counted)
+    core = set(range(20))
+    hot = [core | {1000 + k} for k in range(300)]
+    # A stray item that only some members are similar to, a chain away from the pivots, and one of its own.
+    chain = [set(range(100 + 2 * k, 124 + 2 * k)) for k in range(100)]
+    sets = [*hot, {*range(16), 5000, 5001}, *chain, set(range(90_000, 90_020))]
+    got = _linked(set_nodes(spark, sets), 80).collect()
+    assert seen and len(got) < 10 * len(sets)
+    for a, b in ((r["a"], r["b"]) for r in got):
+        assert 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    roots = {r["item"]: r["root"] for r in components(spark.createDataFrame(got)).collect()}
+    want = linked(dict(enumerate(sets)), 80)
+    assert {k: roots.get(k, k) for k in want} == want
