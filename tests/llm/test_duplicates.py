@@ -168,3 +168,33 @@ def test_hot_bucket_is_linked_without_large_nodes(spark, monkeypatch):
     roots = {r["item"]: r["root"] for r in components(spark.createDataFrame(got)).collect()}
     want = linked(dict(enumerate(sets)), 80)
     assert {k: roots.get(k, k) for k in want} == want
+
+
+def test_any_shared_run_of_51_words_is_cut_whole(spark):
+    """Passages of few or many different words, and periodic ones, each in two texts of other words."""
+    r, texts, runs = random.Random(5), [], []
+    for k in range(150):
+        run = [f"p{k}x{r.randrange(8 if k % 2 else 4000)}" for _ in range(51 + k % 10)]
+        if k >= 120:
+            run = [f"p{k}x{j % (k - 119)}" for j in range(51)] if k < 126 else run
+        runs.append(run)
+        texts += [" ".join([*prose(4000 + 2 * k + j, 40).split(" "), *run, *prose(9000 + 2 * k + j, 40).split(" ")]) for j in (0, 1)]
+    docs = documents(spark, [(k, t, "s") for k, t in enumerate(texts)]).repartition(5)
+    cut = {x["doc_id"]: words(x["text"]) for x in remove_repeats(docs, length_col="n_chars").collect()}
+    for k, run in enumerate(runs):
+        own = prose(4001 + 2 * k, 40).split(" ") + prose(9001 + 2 * k, 40).split(" ")
+        # A near paragraph goes whole, with one outer word at either side, or some more where few words repeat.
+        few = k % 2 or k >= 120
+        assert not set(run) & set(cut[2 * k + 1]) and len(own) - (8 if few else 2) <= len(cut[2 * k + 1]) <= len(own), k
+        if k < 120:
+            assert cut[2 * k] == words(texts[2 * k])
+        else:  # a text keeps the start of what it repeats
+            assert set(run) <= set(cut[2 * k])
+
+
+def test_repeated_word_keeps_one_place(spark):
+    docs = documents(spark, [(1, "same " * 80, "s"), (2, prose(8, 30) + " same" * 60, "s"), (3, "row 1 of 9 " * 30, "s"), (4, "few words", "s")])
+    cut = {x["doc_id"]: words(x["text"]) for x in remove_repeats(docs).collect()}
+    # The first place begins within 7 words of the start.
+    assert set(cut[1]) == {"same"} and 19 <= len(cut[1]) <= 26 and cut[2] == words(prose(8, 30)) and cut[4] == ["few", "words"]
+    assert 19 <= len(cut[3]) <= 33 and cut[3][:4] == ["row", "1", "of", "9"]
