@@ -135,8 +135,8 @@ def set_nodes(spark, sets, node=1):
     for k, x in enumerate(sets):
         flat = np.unique(mix(np.array(sorted(x), dtype=np.uint64) + np.uint64(1)))
         marks = (minhashes(flat, np.array([0, len(flat)]), seeds) & 255).astype(np.uint8)
-        rows.append((node, k, len(flat), bytearray(flat.tobytes()), bytearray(marks[0].tobytes()), k, True))
-    return spark.createDataFrame(rows, "node long, item long, size long, set binary, marks binary, root long, full boolean").repartition(4)
+        rows.append((k, len(flat), bytearray(flat.tobytes()), bytearray(marks[0].tobytes()), [node]))
+    return spark.createDataFrame(rows, "item long, size long, set binary, marks binary, nodes array<bigint>").repartition(4)
 
 
 def test_hot_bucket_is_linked_without_large_nodes(spark, monkeypatch):
