@@ -195,3 +195,67 @@ def op2_html_text(spark, sf_dir):
     from foldwise.llm.html_text import extract_text
 
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query("op12_token_files")
+def op12_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from foldwise.llm.token_files import new_token_folder, read_token_files, token_digests, write_token_files
+
+    folder = new_token_folder(spark)
+    write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return token_digests(read_token_files(spark, folder)).withColumnRenamed("id", "doc_id")
+
+
+@query("op13_alignment")
+def op13_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from foldwise.llm.alignment import alignment_table
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
+    return alignment_table(table(spark, sf_dir, "documents"), *paths).withColumnRenamed("id", "doc_id")
+
+
+# The crc32 in SQL goes by half bytes, whose 16 entries follow from the polynomial.
+OP11 = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i AS v, 0 AS k FROM (SELECT unnest(range(16))::BIGINT AS i)
+  UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END, k + 1 FROM bits WHERE k < 4
+), steps AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 4
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents
+), counted AS (SELECT doc_id, w, count(*) AS c FROM runs GROUP BY doc_id, w
+), hashed AS (
+  SELECT w, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(2 * strlen(coalesce(doc_id::VARCHAR, '') || ':' || w)),
+      lambda i: strpos('0123456789ABCDEF', substr(hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)), (i + 1 - 2 * (i % 2) + 1)::INT, 1))::BIGINT - 1)),
+    lambda a, x: xor(a // 16, t[(xor(a % 16, x) + 1)::INT])), 4294967295) AS h
+  FROM counted, steps
+), words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, sum(c)::BIGINT AS n
+  FROM hashed GROUP BY 1
+), v AS (SELECT word, n FROM words WHERE length(word) >= 7 AND n >= 2
+), gone AS (
+  SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)
+), pairs AS (
+  SELECT a.word AS x, a.n AS xn, b.word AS y, b.n AS yn FROM gone a JOIN gone b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, g.n, v.word, v.n FROM gone g JOIN v ON v.word = g.rest
+  UNION SELECT v.word, v.n, g.word, g.n FROM gone g JOIN v ON v.word = g.rest
+), best AS (
+  SELECT x, count(DISTINCT y) AS n_near, max(yn) AS top FROM pairs GROUP BY x
+), forms AS (
+  SELECT b.x, b.top, min(p.y) AS form FROM best b JOIN pairs p ON p.x = b.x AND p.yn = b.top WHERE b.top >= 10 * p.xn GROUP BY b.x, b.top
+), way AS (
+  SELECT x, form AS stop, 1 AS d FROM forms UNION ALL SELECT w.x, f.form, w.d + 1 FROM way w JOIN forms f ON f.x = w.stop
+), ends AS (SELECT x, arg_max(stop, d) AS root FROM way GROUP BY x)
+SELECT v.word, v.n, f.form, f.top AS form_n, coalesce(b.n_near, 0)::BIGINT AS n_near, coalesce(e.root, v.word) AS root
+FROM v LEFT JOIN best b ON b.x = v.word LEFT JOIN forms f ON f.x = v.word LEFT JOIN ends e ON e.x = v.word
+"""
+
+
+@query("op11_spelling", OP11)
+def op11_spelling(spark, sf_dir):
+    from foldwise.llm.spelling import counted_words, spelling_variants
+
+    return spelling_variants(counted_words(table(spark, sf_dir, "documents"), shorten_every=31))
