@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,14 +32,46 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SCOPES: ContextVar[tuple[list, ...]] = ContextVar("scopes", default=())
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of the written table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/foldwise/{uuid.uuid4().hex}"
+    if _SCOPES.get():
+        _SCOPES.get()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Remove the tables that are written inside at the end.
+
+    The value is a function that writes a result to last beyond the scope; whatever
+    is lazy must be written by it before the scope ends.
+    """
+    paths: list[str] = []
+    outer = _SCOPES.get()
+
+    def kept(df: DataFrame) -> DataFrame:
+        token = _SCOPES.set(outer)
+        try:
+            return materialize(df)
+        finally:
+            _SCOPES.reset(token)
+
+    token = _SCOPES.set((*outer, paths))
+    try:
+        yield kept
+    finally:
+        _SCOPES.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def pinned(groups: DataFrame, keys=()) -> DataFrame:
     """A small table computed once: one row without keys, written out with keys."""
     if keys:

@@ -37,6 +37,16 @@ class Learner:
     l1_share: float = 1.0
 
 
+@dataclass(frozen=True)
+class TreeLearner:
+    """A regression tree on binned features; more ``rounds`` boost it, each at ``rate``."""
+
+    depth: int = 2
+    rounds: int = 1
+    rate: float = 1.0
+    min_rows: int = 5
+
+
 @dataclass(frozen=True)
 class Inference:
     """Stage-two estimator and its standard error.
