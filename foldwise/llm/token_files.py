@@ -20,8 +20,8 @@ A lost task is run again over the same range and gives the same rows; Spark's co
 keeps half-written files out.
 
 Defined results: a NULL or empty text has the end id only; a row without id comes first;
-rows with equal ids are documents of their own, in the order of their texts; an empty
-table gives no files and no rows; other columns are not read.
+rows with equal ids are documents of their own, in the order of the first letters of their
+texts and of reading; an empty table gives no files and no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ from foldwise.operators.storage import shared_folder
 
 #: Ids that a task passes on at once; a longer document is a batch of its own.
 FLUSH_IDS = 1 << 20
+#: First letters of the texts by which rows with equal ids are put in order.
+TIE_LETTERS = 32
 
 
 def new_token_folder(spark: SparkSession) -> str:
@@ -78,7 +80,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, ranks: str
     vocabulary as ranks, by which plain texts are encoded faster.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("_read"))
-    ordered = rows.repartitionByRange("id", "text", "_read").sortWithinPartitions("id", "text", "_read").select("id", "text")
+    order = ["id", F.substring("text", 1, TIE_LETTERS), "_read"]  # the cut points are sampled on the driver: no whole texts
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
     kind = ordered.schema["id"].dataType.simpleString()
     tokens = ordered.mapInArrow(_encode(vocabulary, ranks, end_id), f"id {kind}, part int, before long, after long, ids array<int>")
     (tokens.write.option("orc.create.index", "true").option("orc.row.index.stride", str(index_rows)).option("orc.stripe.size", str(stripe_bytes))
