@@ -3,7 +3,8 @@
 Every estimate is an aggregate over products of a row with its ``H`` predecessors.
 Bandwidths may differ by key; short ones use lag columns on overlapping chunks,
 long Bartlett ones use differences of running sums, whose cost does not grow with ``H``,
-and other long kernels take all lags of a chunk from one Fourier transform.
+other long kernels take all lags of a chunk from one Fourier transform, and many cosines
+come from moments of short runs, whose cost does not grow with the number of cosines.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ BANDWIDTH_RULES = {
 
 #: Lag columns per pass.
 LAG_COLUMNS = 64
+#: Cosines up to which rows are multiplied with each of them.
+FEW_COSINES = 128
+#: Half the angle by which a cosine may turn within a run of rows, and the powers that then make up its series.
+TURN, MOMENTS = 1.0, 18
 
 
 def kernel_named(name: str | None) -> str:
@@ -235,11 +240,9 @@ def _long_kernel(rows, cols, groups, add, kernel, keys, max_width, chunk_rows):
         F.try_divide(F.col(n), F.col("n_obs") - F.col("dof")).alias(f"lrv_{i}_{j}") for n, (i, j) in zip(names, _pairs(cols))])
 
 
-def _cosine_sums(rows, cols, groups, add, keys, chunk_rows):
-    """Equal-weighted cosines: each task sums its rows times the cosines, one pass over the rows."""
+def _few_cosines(rows, cols, small, keys, chunk_rows):
+    """``keys, _j, _l0..`` for few cosines: each task sums its rows times the cosines."""
     fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    small = groups.select(*keys, "n_obs", "bandwidth", *(["n_rows"] if keys else []))
-    small = materialize(small) if keys else small
     data = attach(rows.select(*keys, "pos", *cols), small, keys, chunk_rows=chunk_rows)
     data = data.select(*keys, "pos", "n_obs", "bandwidth", *cols)
     d = len(cols)
@@ -278,7 +281,81 @@ def _cosine_sums(rows, cols, groups, add, keys, chunk_rows):
     parts = data.mapInPandas(partial, schema)
     zipped = F.arrays_zip(*[f"l{i}" for i in range(d)])
     each = parts.select(*keys, F.posexplode(zipped).alias("_j", "_l"))
-    lams = each.groupBy(*keys, "_j").agg(*[F.sum(F.col("_l")[f"l{i}"]).alias(f"_l{i}") for i in range(d)])
+    return each.groupBy(*keys, "_j").agg(*[F.sum(F.col("_l")[f"l{i}"]).alias(f"_l{i}") for i in range(d)])
+
+
+def _turns(times: np.ndarray, q: int, n: int) -> np.ndarray:
+    """``exp(i pi q times / (2 n))`` for whole numbers, reduced before any rounding."""
+    return np.exp(0.5j * np.pi / n * ((times % (4 * n)) * q % (4 * n)))
+
+
+def _chirp(x: np.ndarray, q: int, n: int, terms: int) -> np.ndarray:
+    """``sum_b x_b exp(i pi j q b / n)`` for ``j = 1..terms`` by one convolution (Bluestein, 1970)."""
+    b, j = np.arange(len(x)), np.arange(terms + 1)
+    size = 1 << int(len(x) + terms).bit_length()
+    kernel = np.zeros(size, dtype=complex)
+    kernel[:terms + 1] = np.conj(_turns(j * j, q, n))
+    kernel[size - len(x) + 1:] = np.conj(_turns(b[1:] * b[1:], q, n))[::-1]
+    spread = np.fft.ifft(np.fft.fft(x * _turns(b * b, q, n), size) * np.fft.fft(kernel))[:terms + 1]
+    return (spread * _turns(j * j, q, n))[1:]
+
+
+def _many_cosines(rows, cols, small, keys, chunk_rows):
+    """``keys, _j, _l0..`` for many cosines, at a cost of rows plus terms.
+
+    Runs of ``q`` rows are summed with the powers of the distance from their middle; no cosine
+    turns by more than ``2 * TURN`` within a run, so its series in these powers ends after
+    ``MOMENTS`` of them with an error below ``TURN ** MOMENTS / MOMENTS!`` (2e-16) of the sum of
+    absolute values.  There are about as many runs as cosines; the sums over the runs with one
+    power are a transform, one task for each power.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    d, n, terms = len(cols), F.col("n_obs"), F.col("bandwidth")
+    small = small.withColumn("_q", F.greatest(F.floor(2 * TURN * n / (math.pi * terms)), F.lit(1)).cast("long"))
+    data = attach(rows.select(*keys, "pos", *cols), materialize(small) if keys else small, keys, chunk_rows=chunk_rows)
+    run = F.floor(F.col("pos") / F.col("_q")).cast("long")
+    power = F.lit(1.0)
+    placed = data.withColumn("_run", run).withColumn("_x", (2 * (F.col("pos") - F.col("_run") * F.col("_q")) + 1 - F.col("_q")) / F.col("_q").cast("double"))
+    sums = []
+    for p in range(MOMENTS):
+        sums += [F.sum(F.col(c) * power).alias(f"_m{p}_{i}") for i, c in enumerate(cols)]
+        power = power * F.col("_x")
+    facts = ["n_obs", "bandwidth", "_q"]
+    runs = placed.groupBy(*keys, "_run").agg(*[F.max(c).alias(c) for c in facts], *sums)
+    powers = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), *[F.col(f"_m{p}_{i}").alias(f"m{i}") for i in range(d)]) for p in range(MOMENTS)]))
+    each = runs.select(*keys, "_run", *facts, powers.alias("_s")).select(*keys, "_run", *facts, "_s.*")
+
+    def transform(pdf):
+        n, terms, q, p = (int(pdf[c].iloc[0]) for c in ("n_obs", "bandwidth", "_q", "p"))
+        j = np.arange(1, terms + 1)
+        # The series of exp(i w x q / 2) in x, and the turn to the middle of the first run.
+        scale = _turns(j, q, n) * (0.5j * np.pi * q / n * j) ** p / math.factorial(p) * np.sqrt(2.0 / n)
+        out = {k: pdf[k].iloc[:1].to_numpy() for k in keys}
+        for i in range(d):
+            x = np.zeros((n - 1) // q + 1)
+            x[pdf["_run"].to_numpy()] = pdf[f"m{i}"].to_numpy()
+            out[f"l{i}"] = [(scale * _chirp(x, q, n, terms)).real]
+        return pd.DataFrame(out)
+
+    schema = ", ".join([*[f"`{k}` {fields[k]}" for k in keys], *[f"l{i} array<double>" for i in range(d)]])
+    parts = each.groupBy(*keys, "p").applyInPandas(transform, schema)
+    found = parts.select(*keys, F.posexplode(F.arrays_zip(*[f"l{i}" for i in range(d)])).alias("_j", "_l"))
+    return found.groupBy(*keys, "_j").agg(*[F.sum(F.col("_l")[f"l{i}"]).alias(f"_l{i}") for i in range(d)])
+
+
+def _cosine_sums(rows, cols, groups, add, keys, chunk_rows):
+    """Equal-weighted cosines; series with up to ``FEW_COSINES`` of them and those with more go their own ways to the same sums."""
+    small = groups.select(*keys, "n_obs", "bandwidth", *(["n_rows"] if keys else []))
+    d, lams = len(cols), None
+    if keys:
+        small = materialize(small)
+    for few, sums in ((True, _few_cosines), (False, _many_cosines)):
+        mine = small.where((F.col("bandwidth") <= FEW_COSINES) == few)
+        if not mine.isEmpty():
+            found = sums(rows, cols, mine, keys, chunk_rows)
+            lams = found if lams is None else lams.unionByName(found)
+    if lams is None:  # no series at all
+        lams = _few_cosines(rows, cols, small, keys, chunk_rows)
     sums = lams.groupBy(*keys).agg(*[F.sum(F.col(f"_l{i}") * F.col(f"_l{j}")).alias(f"_v_{i}_{j}") for i, j in _pairs(cols)])
     joined = add(sums)
     return joined.select(*keys, "n_obs", "bandwidth", *[

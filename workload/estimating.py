@@ -356,6 +356,14 @@ for _kernel in ("bartlett", "qs", "parzen", "ewc"):
     _lrv_query(_kernel)
 
 
+@query("lrv_ewc_many_terms", f"""WITH {sql.lrv(f"SELECT event_id AS pos, value AS s FROM ({sql.EVENTS})", "ewc", "n // 4")}
+  SELECT n AS n_obs, width AS bandwidth, round(v, 5) AS lrv_0_0 FROM lrv""")
+def lrv_many_terms(spark, sf_dir):
+    """A quarter as many cosines as rows."""
+    placed = add_position(series.events_long(spark, sf_dir).select("event_id", "value"), "event_id")
+    return lrv(placed, ["value"], kernel="ewc", bandwidth=F.floor(F.col("n_obs") / 4).cast("int")).select("n_obs", "bandwidth", rnd("lrv_0_0", 5))
+
+
 @query("lrv_matrix_events", f"""WITH c AS (SELECT event_id AS pos, value - avg(value) OVER () AS s0, k - avg(k) OVER () AS s1 FROM ({sql.EVENTS})),
   r AS (SELECT *, row_number() OVER (ORDER BY pos) AS rn, count(*) OVER () AS n FROM c),
   l AS (SELECT *, unnest(range(0, 6)) AS lag FROM r),
