@@ -28,6 +28,7 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +41,7 @@ from foldwise.llm.words import lists, slices
 from foldwise.operators.storage import materialize
 
 #: Links that the windows remembered by a worker may hold together.
-MEMO_LINKS = 1_000_000
+MEMO_LINKS = 2_000_000
 #: Ids of a pair are packed into one number.
 ID_BITS = 20
 
@@ -141,34 +142,29 @@ class Windows:
     def clear(self) -> None:
         self.known: dict = {}
         self.groups: list[bytes] = []
-        self.n_groups: list[int] = []
-        self.first: list[int] = [0]
-        self.links = np.empty(1 << 16, dtype=np.int64)
+        self.n_groups, self.first, self.links = array("q"), array("q", [0]), array("q")
 
     def look_up(self, a: np.ndarray, b: np.ndarray, cut_a: list[int], cut_b: list[int]) -> list[int]:
         """The number of each window between cuts of the ids of both sides."""
-        if self.first[-1] > MEMO_LINKS:
+        if len(self.links) > MEMO_LINKS:
             self.clear()
-        flat_a, flat_b, known, out = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), self.known, []
-        lo_a, lo_b = 0, 0
+        flat_a, flat_b, ids_a, ids_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes(), a.tolist(), b.tolist()
+        known, add, out, lo_a, lo_b = self.known, self._add, [], 0, 0
         for hi_a, hi_b in zip(cut_a[1:], cut_b[1:]):
             ids = flat_a[4 * lo_a:4 * hi_a], flat_b[4 * lo_b:4 * hi_b]
             at = known.get(ids)
             if at is None:
-                at = known[ids] = self._add(a[lo_a:hi_a].tolist(), b[lo_b:hi_b].tolist())
+                at = known[ids] = add(ids_a[lo_a:hi_a], ids_b[lo_b:hi_b])
             out.append(at)
             lo_a, lo_b = hi_a, hi_b
         return out
 
     def _add(self, a: list[int], b: list[int]) -> int:
         text, n, links = align_window(a, b, self.size_a, self.size_b)
-        lo, hi = self.first[-1], self.first[-1] + len(links)
-        if hi > len(self.links):
-            self.links = np.append(self.links[:lo], np.empty(2 * hi - lo, dtype=np.int64))
-        self.links[lo:hi] = links
+        self.links.extend(links)
         self.groups.append(text)
         self.n_groups.append(n)
-        self.first.append(hi)
+        self.first.append(len(self.links))
         return len(self.groups) - 1
 
 
@@ -212,14 +208,14 @@ def _align(vocabulary: str, model: str, ranks: str | None):
         anchors = np.append(np.union1d(shared, begins), start_a[-1])
         at = np.array(windows.look_up(a, b, np.searchsorted(start_a, anchors).tolist(), np.searchsorted(start_b, anchors).tolist()))
         doc_first = np.append(np.searchsorted(anchors, begins), len(at))
-        first = np.array(windows.first, dtype=np.int64)
-        size, groups = np.diff(first)[at], np.array(windows.n_groups, dtype=np.int64)[at]
+        first, links = np.array(windows.first), np.array(windows.links)
+        size, groups = np.diff(first)[at], np.array(windows.n_groups)[at]
         counts[2, used], counts[3, used] = np.add.reduceat(groups, doc_first[:-1]), np.add.reduceat(size, doc_first[:-1])
         order = at.tolist()
         for k, lo, hi in zip(used, doc_first[:-1].tolist(), doc_first[1:].tolist()):
             digests[k] = hashlib.sha256(b";".join([windows.groups[x] for x in order[lo:hi]])).hexdigest()
         owner = np.repeat(np.repeat(np.array(used, dtype=np.int64), np.diff(doc_first)), size)
-        mixed, times = np.unique(owner << (2 * ID_BITS) | windows.links[_ragged(first[at], size)], return_counts=True)
+        mixed, times = np.unique(owner << (2 * ID_BITS) | links[_ragged(first[at], size)], return_counts=True)
         return counts, digests, mixed & ((1 << 2 * ID_BITS) - 1), times, np.searchsorted(mixed >> (2 * ID_BITS), np.arange(n + 1))
 
     def run(batches):
