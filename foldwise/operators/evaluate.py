@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.stage2 import stage2
+from foldwise.operators.stage2 import stage2_specs
 from foldwise.operators.storage import CHUNK_ROWS
 from foldwise.plans.spec import Inference
 
@@ -25,10 +23,7 @@ def evaluate(fits: DataFrame, truth: float | str, by=("design",)) -> DataFrame:
 
 
 def sweep(resid: DataFrame, specs: dict[str, Inference], by=(), chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """One row per named specification; the residuals are shared by all of them."""
-    out = None
-    for name, spec in specs.items():
-        part = stage2(resid, replace(spec), by, chunk_rows).withColumn("spec", F.lit(name)).withColumn(
-            "kernel", F.lit(spec.kernel)).withColumn("rule", F.lit(spec.rule))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """One row per named specification (and group); what they have in common is computed once."""
+    names = F.create_map(*[F.lit(x) for name, spec in specs.items() for x in (name, spec.kernel)])
+    rules = F.create_map(*[F.lit(x) for name, spec in specs.items() for x in (name, spec.rule)])
+    return stage2_specs(resid, specs, by, chunk_rows).withColumn("kernel", names[F.col("spec")]).withColumn("rule", rules[F.col("spec")])

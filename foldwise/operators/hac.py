@@ -150,6 +150,13 @@ def lag_products(rows: DataFrame, cols, max_lag: int, keys=(), chunk_rows: int =
     return parts
 
 
+def kernel_sum(p: Column, kernel: str, width: Column, both: float = 2.0) -> Column:
+    """The weighted sum of the lag products ``p`` of a column: lag 0 once, lags 1 to ``width`` times ``both``."""
+    kernel = kernel_named(kernel)
+    tail = F.aggregate(F.sequence(F.lit(1), width), F.lit(0.0), lambda s, l: s + both * weight(kernel, l, width) * p[l])
+    return p[0] + F.when(width >= 1, tail).otherwise(0.0)
+
+
 def _kernel_sums(rows, cols, add, kernel, keys, max_width, chunk_rows):
     joined = add(lag_products(rows, cols, max_width, keys, chunk_rows))
     out = []
@@ -388,6 +395,25 @@ def centred_lrv(rows: DataFrame, cols, groups: DataFrame, kernel: str, keys=(),
     return _kernel_sums(rows, cols, add, kernel, keys, largest, chunk_rows)
 
 
+def side_by_side_lrv(rows: DataFrame, cols: dict[int, str], groups: DataFrame, lags: dict[int, int], kernel: str, keys=(),
+                     chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """``keys, h, lrv_0_0`` of centred columns, one per ``h``, in one pass over the rows.
+
+    ``groups`` (stored) has ``keys, h, n_obs, bandwidth, dof``; ``lags`` the largest bandwidth of each ``h``.
+    """
+    keys, kernel = list(keys), kernel_named(kernel)
+    wide = halo(rows.select(*keys, "pos", *cols.values()), before=max(lags.values()), chunk_rows=chunk_rows)
+    w = chunk_window(keys)
+    back = {h: [F.lag(c, l).over(w).alias(f"_{h}_{l}") for l in range(1, lags[h] + 1)] for h, c in cols.items()}
+    wide = wide.select(*keys, "_home", *cols.values(), *[x for some in back.values() for x in some]).where("_home")
+    products = [F.array(*[F.coalesce(F.sum(F.col(c) * F.col(f"_{h}_{l}" if l else c)), F.lit(0.0)) for l in range(lags[h] + 1)]).alias(f"_p{h}") for h, c in cols.items()]
+    sums = wide.groupBy(*keys).agg(*products)
+    each = F.explode(F.array(*[F.struct(F.lit(h).alias("h"), F.col(f"_p{h}").alias("p")) for h in cols]))
+    joined = groups.select(*keys, "h", "n_obs", "bandwidth", "dof").join(sums.select(*keys, each.alias("_e")).select(*keys, "_e.*"), [*keys, "h"])
+    value = kernel_sum(F.col("p"), kernel, F.col("bandwidth"))
+    return joined.select(*keys, "h", F.try_divide(value, F.col("n_obs") - F.col("dof")).alias("lrv_0_0"))
+
+
 def lrv(df: DataFrame, cols, keys=(), kernel: str = "bartlett", bandwidth: Column | int | None = None,
         dof: Column | int = 0, chunk_rows: int = CHUNK_ROWS, lag_limit: int = LAG_COLUMNS) -> DataFrame:
     """Long-run variance matrix of ``cols`` by key: ``n_obs, bandwidth, lrv_i_j`` for ``i <= j``.

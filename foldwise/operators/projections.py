@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.operators.crossfit import by_horizon
-from foldwise.operators.stage2 import stage2
+from foldwise.operators.stage2 import stage2, stage2_horizons
 from foldwise.operators.storage import CHUNK_ROWS
 from foldwise.plans.spec import Inference
 
@@ -60,11 +60,14 @@ def local_projections(resid: DataFrame, spec: Inference = Inference(), code: int
                       time_col: str = "ts", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Impulse response from cross-fitted residuals of every lead.
 
-    Under the rule ``small`` horizon ``h`` uses the bandwidth ``h + 1``.
+    Under the rule ``small`` horizon ``h`` uses the bandwidth ``h + 1``.  All horizons of a row
+    stay side by side where ``stage2_horizons`` allows it.
     """
-    keys = list(keys)
-    tall = by_horizon(cumulate(resid, code), keys, time_col)
-    return irf_columns(stage2(tall, replace(spec, se="stacked_hac"), [*keys, "h"], chunk_rows), keys)
+    keys, spec, resid = list(keys), replace(spec, se="stacked_hac"), cumulate(resid, code)
+    effects = stage2_horizons(resid, spec, keys, chunk_rows)
+    if effects is None:  # one row per position and horizon
+        effects = stage2(by_horizon(resid, keys, time_col), spec, [*keys, "h"], chunk_rows)
+    return irf_columns(effects, keys)
 
 
 def residual_table(resid: DataFrame, keys=(), time_col: str = "ts") -> DataFrame:
