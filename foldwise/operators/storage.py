@@ -8,6 +8,7 @@ the proven size Spark compares with ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -45,6 +46,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished steps.
+
+    They stay on the executors' disks until the driver's JVM collects the plans that made
+    them, which a driver with a free heap may put off for long.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Remove the tables that are written inside at the end.
@@ -70,6 +81,7 @@ def scratch(spark: SparkSession):
         for path in paths:
             place = spark._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        release(spark)
 
 
 def pinned(groups: DataFrame, keys=()) -> DataFrame:
