@@ -134,10 +134,10 @@ def per_fold_learners(spark, sf_dir):
 
 
 @query("user_panel_residuals", "WITH " + sql.residuals(event_rows(4, keys="user_id"), 4, _TARGETS, keys="user_id")
-       + " SELECT user_id, pos, block_id, round(chi0, 5) AS chi0, round(xi, 5) AS xi FROM resid WHERE n_rows >= 24")
+       + " SELECT user_id, pos, block_id, round(chi0, 5) AS chi0, round(xi, 5) AS xi FROM resid")
 def user_panel_residuals(spark, sf_dir):
     sample = event_sample(spark, sf_dir, 4, keys=("user_id",))
-    resid = sample.residuals().where("n_rows >= 24")
+    resid = sample.residuals()
     return resid.select("user_id", "pos", "block_id", rnd("chi0", 5), rnd("xi", 5))
 
 
@@ -585,15 +585,14 @@ _stage2_query("stage2_full_plain", Inference(method="full", hac=False),
 _USERS_RAW = f"SELECT user_id, pos, n_rows, block_id, value AS chi, k AS xi FROM ({sql.blocked(sql.numbered(sql.EVENTS, 'event_id', 'user_id'), 4)})"
 
 
-@query("stage2_users", _effect_sql(
-    sql.stage2_block(_USERS_RAW, by="user_id"), by="user_id", where="n >= 24",
-    crit="(CASE WHEN n >= 100 THEN 1.959963984540054 END)").replace("AS ci_lower", "AS ci_lower_95").replace("AS ci_upper", "AS ci_upper_95"))
+_USERS_CTES = f"{sql.stage2_block(_USERS_RAW, by='user_id')}, {sql.t_quantiles('effect')}"
+_USERS_CRIT = f"(CASE WHEN n >= 100 THEN {sql.Z95} ELSE (SELECT crit FROM crit c WHERE c.n = effect.n) END)"
+
+
+@query("stage2_users", _effect_sql(_USERS_CTES, by="user_id", crit=_USERS_CRIT).replace("WITH ", "WITH RECURSIVE ", 1))
 def stage2_users(spark, sf_dir):
-    """One effect per user; the interval is compared where it does not need a t quantile."""
-    out = stage2(raw_residuals(spark, sf_dir, 4, ["user_id"]), Inference(), ["user_id"]).where("n_obs >= 24")
-    far = F.col("n_obs") >= 100
-    return _effect_out(out, "user_id").withColumns({
-        "ci_lower_95": F.when(far, F.col("ci_lower")), "ci_upper_95": F.when(far, F.col("ci_upper"))}).drop("ci_lower", "ci_upper")
+    """One effect per user; intervals of short series use the t quantile."""
+    return _effect_out(stage2(raw_residuals(spark, sf_dir, 4, ["user_id"]), Inference(), ["user_id"]), "user_id")
 
 
 @query("block_statistics_plain", f"""WITH f AS (SELECT block_id, count(*) AS n_obs, {sql.line_cols(True)} FROM ({_RAW}) WHERE block_id IS NOT NULL GROUP BY 1),
@@ -615,19 +614,19 @@ def _robust_statistics(by, lag):
     return f"""WITH s2 AS (SELECT * FROM ({_RAW}) WHERE block_id IS NOT NULL), fit AS (SELECT {key}count(*) AS nn, {sql.line_cols(True)} FROM s2 {'GROUP BY block_id' if by else ''}),
       {sql.lrv(f"SELECT {pull}pos, (xi - center) * (chi - a - b * xi) AS s FROM s2 JOIN fit ON {on}", "bartlett", str(lag), by=part)}
       SELECT {outk}nn AS n_obs, df, round(b, 7) AS coefficient, round(sqrt(v * nn) / sxx, 7) AS std_error,
-        round(abs(b / (sqrt(v * nn) / sxx)), 6) AS t_statistic FROM fit JOIN lrv ON {onl}"""
+        round(abs(b / (sqrt(v * nn) / sxx)), 6) AS t_statistic, round({sql.chi2_p("pow(b / (sqrt(v * nn) / sxx), 2)", "1")}, 6) AS p_value FROM fit JOIN lrv ON {onl}"""
 
 
 @query("block_statistics_robust", _robust_statistics(True, 1))
 def block_robust(spark, sf_dir):
     out = block_statistics(raw_residuals(spark, sf_dir), lag=1)
-    return out.select("block_id", "n_obs", "df", rnd("coefficient", 7), rnd("std_error", 7), rnd("t_statistic", 6))
+    return out.select("block_id", "n_obs", "df", rnd("coefficient", 7), rnd("std_error", 7), rnd("t_statistic", 6), rnd("p_value"))
 
 
 @query("full_statistics_robust", _robust_statistics(False, 3))
 def full_robust(spark, sf_dir):
     out = full_statistics(raw_residuals(spark, sf_dir), lag=3)
-    return out.select("n_obs", "df", rnd("coefficient", 7), rnd("std_error", 7), rnd("t_statistic", 6))
+    return out.select("n_obs", "df", rnd("coefficient", 7), rnd("std_error", 7), rnd("t_statistic", 6), rnd("p_value"))
 
 
 @query("static_effect_weekly", _effect_sql(f"{_two_controls(6)}, {sql.stage2_block('SELECT pos, block_id, chi, xi FROM resid')}").replace(", 7)", ", 4)"))
@@ -647,14 +646,14 @@ def static_effect_buffered(spark, sf_dir):
 # ---------------------------------------------------------------- many fits
 
 
-@query("evaluate_users", f"""WITH {sql.stage2_block(_USERS_RAW, by="user_id")},
-  e AS (SELECT CASE WHEN n >= 64 THEN 'long' ELSE 'short' END AS design, coef FROM effect WHERE n >= 24)
+@query("evaluate_users", f"""WITH RECURSIVE {_USERS_CTES},
+  e AS (SELECT CASE WHEN n >= 64 THEN 'long' ELSE 'short' END AS design, coef, abs(coef - 0.5) <= {_USERS_CRIT} * std_error AS covered FROM effect)
   SELECT design, count(*) AS n_fits, round(100 * (avg(coef) - 0.5) / 0.5, 5) AS bias_pct, round(100 * abs(avg(coef) - 0.5) / 0.5, 5) AS abs_bias_pct,
-    round(sqrt(avg((coef - 0.5) * (coef - 0.5))), 7) AS rmse FROM e GROUP BY 1""")
+    round(sqrt(avg((coef - 0.5) * (coef - 0.5))), 7) AS rmse, round(100 * avg(covered::INT), 5) AS coverage_pct FROM e GROUP BY 1""")
 def evaluate_users(spark, sf_dir):
-    fits = stage2(raw_residuals(spark, sf_dir, 4, ["user_id"]), Inference(), ["user_id"]).where("n_obs >= 24")
+    fits = stage2(raw_residuals(spark, sf_dir, 4, ["user_id"]), Inference(), ["user_id"])
     fits = fits.withColumn("design", F.when(F.col("n_obs") >= 64, "long").otherwise("short"))
-    return evaluate(fits, 0.5).select("design", "n_fits", rnd("bias_pct", 5), rnd("abs_bias_pct", 5), rnd("rmse", 7))
+    return evaluate(fits, 0.5).select("design", "n_fits", rnd("bias_pct", 5), rnd("abs_bias_pct", 5), rnd("rmse", 7), rnd("coverage_pct", 5))
 
 
 _SWEEP = {"bartlett": Inference(), "qs": Inference(kernel="qs"), "parzen": Inference(kernel="parzen"), "ewc": Inference(kernel="ewc")}

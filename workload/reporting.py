@@ -193,12 +193,21 @@ def tuning_report_events(spark, sf_dir):
     return tuning_report(tuned)
 
 
-@query("curve_report_events", f"""WITH {_profile_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY fold, equation ORDER BY rmse, grid_idx) AS r FROM profile)
-  SELECT fold, equation, grid_idx, penalty, round(rmse, 7) AS rmse, r = 1 AS is_lowest FROM r""")
+@query("curve_report_events", f"""WITH {_profile_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY fold, equation ORDER BY rmse, grid_idx) AS r,
+    grid_idx AS i, count(*) OVER (PARTITION BY fold, equation) AS n FROM profile),
+  win AS (SELECT *, CASE WHEN i <= n - 3 THEN avg(rmse) OVER f END AS m, CASE WHEN i <= n - 3 THEN var_pop(rmse) OVER f END AS v FROM r
+    WINDOW f AS (PARTITION BY fold, equation ORDER BY grid_idx ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+  lim AS (SELECT fold, equation, min(m) AS m0, max(m) AS m1, min(v) AS v0, max(v) AS v1 FROM win GROUP BY 1, 2),
+  sc AS (SELECT fold, equation, i, CASE WHEN m1 - m0 > 1e-10 THEN (m - m0) / (m1 - m0) ELSE 0 END + CASE WHEN v1 - v0 > 1e-10 THEN (v - v0) / (v1 - v0) ELSE 0 END AS score
+    FROM win JOIN lim USING (fold, equation) WHERE m IS NOT NULL),
+  st AS (SELECT fold, equation, i AS start FROM sc QUALIFY row_number() OVER (PARTITION BY fold, equation ORDER BY round(score, 12), i) = 1),
+  inside AS (SELECT r.*, i BETWEEN start AND start + 2 AS in_window FROM r JOIN st USING (fold, equation))
+  SELECT fold, equation, grid_idx, penalty, round(rmse, 7) AS rmse, in_window, r = 1 AS is_lowest,
+    in_window AND row_number() OVER (PARTITION BY fold, equation, in_window ORDER BY rmse, grid_idx) = 1 AS is_chosen FROM inside""")
 def curve_report_events(spark, sf_dir):
     sample = event_sample(spark, sf_dir)
     _, profile = sample.tune(_LASSO_GRID, _LASSO_GRID)
-    return curve_report(profile).select("fold", "equation", "grid_idx", "penalty", rnd("rmse", 7), "is_lowest")
+    return curve_report(profile).select("fold", "equation", "grid_idx", "penalty", rnd("rmse", 7), "in_window", "is_chosen", "is_lowest")
 
 
 # ---------------------------------------------------------------- checks on residuals
@@ -214,11 +223,11 @@ def _ljung_sql(source: str, key: str = "", lags: int = 8) -> str:
       q AS (SELECT *, max(CASE WHEN lag = 0 THEN p END) OVER ({part}) AS p0 FROM p),
       s AS (SELECT {lead}lag, n * (n + 2) * sum(p * p / (p0 * p0) / (n - lag)) OVER ({part}ORDER BY lag) AS x FROM q WHERE lag > 0)
       SELECT {lead}lag::INT AS lag, round(x, 5) AS lb_stat,
-        round(CASE WHEN lag % 2 = 0 THEN exp(-x / 2) * list_sum([exp(j * ln(x / 2) - lgamma(j + 1.0)) for j in range(0, lag::BIGINT // 2)]) END, 6) AS lb_even_p FROM s"""
+        round({sql.chi2_p('x', 'lag')}, 6) AS lb_pvalue FROM s"""
 
 
 def _ljung_out(df, *more):
-    return df.select(*more, "lag", rnd("lb_stat", 5), F.round(F.when(F.col("lag") % 2 == 0, F.col("lb_pvalue")), 6).alias("lb_even_p"))
+    return df.select(*more, "lag", rnd("lb_stat", 5), rnd("lb_pvalue"))
 
 
 @query("ljung_box_events", _ljung_sql(f"SELECT event_id AS pos, value AS r FROM ({sql.EVENTS})"))
@@ -259,6 +268,32 @@ def leakage_events(spark, sf_dir):
         "fold", rnd("F_stat"), rnd("p_value"), "n_obs", "df")
 
 
+def _leak_sql(source: str, k: int) -> str:
+    """The pooled test with one neighbour on each side, by equation, from ``equation, pos, n_rows, r``."""
+    near, part = f"pos % (n_rows // {k})", "PARTITION BY equation"
+    return f"""e AS (SELECT * FROM (SELECT *, lag(r) OVER ({part} ORDER BY pos) AS l1, lead(r) OVER ({part} ORDER BY pos) AS l2 FROM ({source}))
+      WHERE ({near} < 1 OR {near} >= n_rows // {k} - 1) AND pos >= 1 AND pos < n_rows - 1 AND l1 IS NOT NULL AND l2 IS NOT NULL),
+    a AS (SELECT equation, count(*) AS n, var_pop(r) AS yy, var_pop(l1) AS s11, var_pop(l2) AS s22, covar_pop(l1, l2) AS s12, covar_pop(r, l1) AS c1, covar_pop(r, l2) AS c2
+      FROM e GROUP BY 1),
+    b AS (SELECT *, (c1 * s22 - c2 * s12) / (s11 * s22 - s12 * s12) AS b1, (c2 * s11 - c1 * s12) / (s11 * s22 - s12 * s12) AS b2 FROM a),
+    leak AS (SELECT *, (b1 * c1 + b2 * c2) / 2 / ((yy - b1 * c1 - b2 * c2) / (n - 3)) AS f FROM b)"""
+
+
+_BOTH = f"SELECT unnest(['policy', 'outcome']) AS equation, unnest([xi, chi0]) AS r, pos, n_rows FROM (WITH {sql.residuals(event_rows(40), 40, _TARGETS)} SELECT * FROM resid)"
+
+
+@query("diagnose_events", f"""WITH {_leak_sql(_BOTH, 40)}
+  SELECT 'leakage' AS test, equation, NULL::INT AS lag, round(f, 5) AS statistic, round(pow((n - 3) / (n - 3 + 2 * f), (n - 3) / 2.0::DOUBLE), 6) AS p_value FROM leak
+  UNION ALL SELECT 'ljung_box', equation, lag, lb_stat, lb_pvalue FROM ({_ljung_sql(f'SELECT equation, r, pos FROM ({_BOTH})', 'equation')})""")
+def diagnose_events(spark, sf_dir):
+    """Both tests of both residuals in one table."""
+    found = diagnose(event_sample(spark, sf_dir, 40).residuals(), 40, max_lag=1)
+    leak = found["leakage"].where("fold = 'pooled'").select(F.lit("leakage").alias("test"), "equation", F.lit(None).cast("int").alias("lag"),
+                                                             rnd("F_stat", 5, "statistic"), rnd("p_value"))
+    box = found["ljung_box"].select(F.lit("ljung_box"), "equation", "lag", rnd("lb_stat", 5, "statistic"), rnd("lb_pvalue", 6, "p_value"))
+    return leak.union(box)
+
+
 @query("diagnose_weekly")
 def diagnose_weekly(spark, sf_dir):
     """Leakage and autocorrelation tests of both residuals of a wide weekly sample."""

@@ -164,5 +164,22 @@ def t_p(t: str, df: str) -> str:
     return f"(1 - CASE WHEN ({df})::BIGINT % 2 = 0 THEN {even} ELSE {odd} END)"
 
 
+def chi2_p(x: str, df: str) -> str:
+    """Upper tail of chi-square for whole degrees of freedom: finite sums for even ones, the series of the error function for odd ones."""
+    h, k = f"greatest(({x}) / 2, 1e-300)", f"({df})::BIGINT"
+    even = f"list_sum([exp(j * ln({h}) - {h} - lgamma(j + 1.0)) for j in range(0, {k} // 2)])"
+    odd = f"greatest(1 - list_sum([exp((j + 0.5) * ln({h}) - {h} - lgamma(j + 1.5)) for j in range(({k} - 1) // 2, 700)]), 0)"
+    return f"(CASE WHEN {h} > 300 THEN 0 WHEN {k} % 2 = 0 THEN {even} ELSE {odd} END)"
+
+
+def t_quantiles(groups: str, p: str = "0.05") -> str:
+    """A recursive CTE ``bis(n, i, lo, hi)``: two-sided t quantiles with ``n - 2`` degrees of freedom for each ``n`` below 100 of ``groups``."""
+    inside = t_p("((lo + hi) / 2)", "greatest(n - 2, 1)")
+    return f"""bis AS (SELECT DISTINCT n, 0 AS i, 0.0::DOUBLE AS lo, 64.0::DOUBLE AS hi FROM {groups} WHERE n < 100
+      UNION ALL SELECT n, i + 1, CASE WHEN p > {p} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN p > {p} THEN hi ELSE (lo + hi) / 2 END
+      FROM (SELECT *, {inside} AS p FROM bis WHERE i < 60)),
+      crit AS (SELECT n, max(lo) AS crit FROM bis WHERE i = 60 GROUP BY n)"""
+
+
 Z95 = "1.959963984540054"
 STARS = "CASE WHEN {p} < 0.01 THEN '***' WHEN {p} < 0.05 THEN '**' WHEN {p} < 0.1 THEN '*' ELSE '' END"
