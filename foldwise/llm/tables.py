@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwise.operators.storage import materialize
+from foldwise.operators.storage import materialize, release
 
 #: Rows up to which a table of a few numbers per row may be broadcast (some tens of MB).
 BROADCAST_ROWS = 1_000_000
@@ -16,13 +16,14 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tidy: bool = False) -> DataFrame:
     """Connected components of ``edges(a, b)``: one row ``(item, root)`` per item, root the smallest item.
 
     Alternates two steps that hang every neighbour on the smallest item a node
     sees (larger neighbours, then smaller ones) until the edges stay the same, in
     about log of the diameter rounds.  Edges stay in shared tables throughout, of few
-    files where they are few; the driver only sees their count and checksum.
+    files where they are few; the driver only sees their count and checksum.  ``tidy``
+    lets go of the shuffle files of each round before the next one.
     """
     def stored(df: DataFrame) -> DataFrame:
         return materialize(df.coalesce(max(1, mark[0] // 200_000)) if mark[0] < 20_000_000 else df)
@@ -43,5 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = joined.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"),
                               F.col("m").alias("b"))
         now = stored(small.where("a <> b").distinct())
+        if tidy:
+            del both, least, large, down, joined, small
+            release(edges.sparkSession)
     items = now.select(F.col("a").alias("item"), F.col("b").alias("root"))
     return stored(items.union(now.select("b", "b")).distinct())
