@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from foldwise.operators.learners import merged, square, unshifted, weights
 from foldwise.operators.storage import CHUNK_ROWS, attach, materialize
 from foldwise.plans.spec import Learner
 
-#: Up to this many products per row predictions are generated sums; beyond, folds
-#: over an array of the features, as generated code has a size limit.
+#: Up to this many products per row predictions are generated sums; beyond, they are matrix
+#: products of batches for one series, and folds over an array of the features in a panel.
 MAX_TERMS = 128
 
 
@@ -157,10 +158,38 @@ def predicted(features, coef: Column, equations: int) -> Column:
     return F.aggregate(F.zip_with("_x", coef, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
 
 
+def _products(rows: DataFrame, coefs: DataFrame, features, leads, time_col: str) -> DataFrame:
+    """Residuals of one series with many terms: a matrix product per batch and block inside the tasks.
+
+    The coefficients (one matrix per fold, as large as the parameters) travel with the function.
+    """
+    lines = {r["block_id"]: np.column_stack([r["policy_coef"], *r["outcome_coef"]]) for r in coefs.select("block_id", "policy_coef", "outcome_coef").collect()}
+    names, width = ["xi", *[f"chi{h}" for h in range(len(leads))]], len(features)
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    given = [time_col, "pos", "n_rows", "block_id"]
+
+    def run(batches):
+        for batch in batches:
+            block = batch.column(3).to_numpy()
+            x = batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            y = batch.column(5).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(names))
+            left = np.empty_like(y)
+            for k in np.unique(block):
+                mine = block == k
+                left[mine] = y[mine] - (x[mine] @ lines[k][1:] + lines[k][0])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *[pa.array(left[:, j], mask=np.isnan(left[:, j])) for j in range(len(names))]], [*given, *names])
+
+    arrays = rows.where(F.col("block_id").isin(list(lines))).select(*given, F.array(*[F.col(c).cast("double") for c in features]).alias("_x"),
+                                                                   F.array(*[F.col(c).cast("double") for c in ("d", *leads)]).alias("_y"))
+    return arrays.mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in given], *[f"{c} double" for c in names]]))
+
+
 def residuals(design: DataFrame, coefs: DataFrame, features, keys=(), time_col: str = "ts",
               chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``keys, time, pos, n_rows, block_id, xi, chi0..chiH``; rows outside the blocks are left out."""
     keys, leads = list(keys), lead_columns(design)
+    if not keys and len(features) * (len(leads) + 1) > MAX_TERMS:
+        return _products(design.where(F.col("block_id").isNotNull()), coefs, features, leads, time_col)
     rows = with_features(design.where(F.col("block_id").isNotNull()), features, len(leads) + 1)
     rows = attach(rows, coefs, keys, ["block_id"], chunk_rows)
     return rows.select(

@@ -141,6 +141,24 @@ def user_panel_residuals(spark, sf_dir):
     return resid.select("user_id", "pos", "block_id", rnd("chi0", 5), rnd("xi", 5))
 
 
+# A constant and 119 groups: least squares on indicators are means by group.
+_GROUPS = 120
+_GROUP_ROWS = sql.blocked(sql.numbered(sql.EVENTS, "event_id"), 4)
+
+
+@query("many_controls_events", f"""WITH src AS (SELECT *, event_id % {_GROUPS} AS g FROM ({_GROUP_ROWS}) WHERE block_id IS NOT NULL),
+  folds AS (SELECT unnest(range(4)) AS fold), blocks AS (SELECT unnest(range(4)) AS block), tr AS ({sql.trains('rcf', 4)}),
+  means AS (SELECT fold, g, avg(value) AS my, avg(k) AS md FROM src JOIN tr ON tr.block = src.block_id GROUP BY ALL)
+  SELECT s.pos, s.block_id, round(s.value - m.my, 5) AS chi0, round(s.k - m.md, 5) AS xi FROM src s JOIN means m ON m.fold = s.block_id AND m.g = s.g""")
+def many_controls(spark, sf_dir):
+    """119 controls: sums of 7,381 products per block, and residuals by matrix products."""
+    placed = add_position(series.events_long(spark, sf_dir).select("event_id", "value", "k"), "event_id")
+    names = [f"g{j}" for j in range(1, _GROUPS)]
+    group = [F.when(F.col("event_id") % _GROUPS == j, 1.0).otherwise(0.0).alias(f"g{j}") for j in range(1, _GROUPS)]
+    rows = simple_design(placed.select("*", *group), "value", "k", names, 4, (), "event_id", ["value"])
+    return Sample(materialize(rows), tuple(names), 4, (), "event_id").residuals().select("pos", "block_id", rnd("chi0", 5), rnd("xi", 5))
+
+
 @query("rows_outside_folds", f"SELECT user_id, count(*) AS n_outside FROM ({event_rows(4, keys='user_id')}) WHERE block_id IS NULL GROUP BY 1")
 def rows_outside(spark, sf_dir):
     rows = event_sample(spark, sf_dir, 4, keys=("user_id",)).rows.where("n_rows >= 4 and block_id is null")
