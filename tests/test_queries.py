@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 FEW = ["static_effect_weekly", "design_weekly", "transform_codes_weekly", "trend_ratio_weekly", "scale_robust_users", "calendar_gaps_users",
        "central_fold_residuals_events", "stability_select_s3", "error_profile_events", "lrv_ewc_users", "stage2_users", "irf_cumulative_events",
        "boundary_leakage_events", "compare_estimates_events", "ols_residuals_level_shift", "stage2_constant_fold_long",
-       "stage2_missing_residuals", "stage2_chunks_qs", "lrv_chunks_ewc", "lrv_parzen_long", "read_metadata_dirty", "calendar_gaps_bulk_days"]
+       "stage2_missing_residuals", "stage2_chunks_qs", "lrv_chunks_ewc", "lrv_ewc_many_terms", "tree_panel_users", "tuned_library_weekly", "many_controls_events", "diagnose_events", "lrv_parzen_long", "read_metadata_dirty", "calendar_gaps_bulk_days"]
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
