@@ -9,6 +9,9 @@ sets the cells of a table below each other, padded to the width of their column.
 
 Pages are independent: one pass over the scan, no shuffle, one page at a time in memory.
 
+Text is at most as wide as its table and ``INDENTED`` levels; cells and spans of a table are
+kept as they are written, so memory follows the page and not its ``colspan`` numbers.
+
 Defined results: a NULL page gives NULL, an empty one the empty text; repeated rows are
 rendered each for itself; broken or unclosed markup is read as far as it goes; an
 empty table stays empty; only id and source are read.
@@ -51,6 +54,10 @@ _ENDS = {
 }
 
 
+#: Levels of lists and quotes that are indented; deeper ones share the last indent, so output grows with the page.
+INDENTED = 32
+
+
 class Node:
     __slots__ = ("tag", "attributes", "children")
 
@@ -206,7 +213,7 @@ class _Flow:
         if self.blank and self.lines:
             self.lines.append("")
         self.blank = False
-        lead = "".join(self.prefix)
+        lead = "".join(self.prefix[:INDENTED])
         if self.marker:
             lead = lead[:len(lead) - len(self.marker)] + self.marker
             self.marker = ""
@@ -220,7 +227,7 @@ class _Flow:
 
 def _hidden(node: Node) -> bool:
     a = node.attributes
-    if node.tag in HIDDEN or node.tag == "input":
+    if node.tag in HIDDEN or node.tag in ("input", "rp") or node.tag == "dialog" and "open" not in a:
         return True
     if not a:
         return False
@@ -233,29 +240,49 @@ def _number(text: str | None, default: int) -> int:
     return int(m[1]) if m else default
 
 
+def _merged(held) -> list[tuple[int, int, int]]:
+    """Ranges ``(from, to, row at which they end)`` in order; neighbours that end together are one."""
+    out: list[tuple] = []
+    for begin, end, last in sorted(held):
+        if out and out[-1][1] >= begin and out[-1][2] == last:
+            out[-1] = (out[-1][0], max(out[-1][1], end), last)
+        else:
+            out.append((begin, end, last))
+    return out
+
+
 def _aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Lines of a table whose cells are ``(text, columns, rows)``."""
-    grid, taken = [], {}
+    # Where each cell begins; a cell's other columns and rows are never filled in.
+    placed, widths, held, more = [], {}, [], []
     for r, row in enumerate(rows):
-        line, c = [], 0
+        if more or any(x[2] <= r for x in held):
+            held = _merged(x for x in (*held, *more) if x[2] > r)
+        line, c, k, more = [], 0, 0, []
         for text, across, down in row:
-            while taken.get((r, c)):
-                line.append("")
-                c += 1
-            for i in range(across):
-                line.append(text if i == 0 else "")
-                for j in range(1, min(down, len(rows) - r)):
-                    taken[(r + j, c + i)] = True
+            while k < len(held) and held[k][0] <= c:
+                c, k = max(c, held[k][1]), k + 1
+            if text:
+                lines = text.split("\n")
+                line.append((c, lines))
+                widths[c] = max(widths.get(c, 0), max(map(len, lines)))
+            if down > 1:
+                more.append((c, c + across, r + down))
             c += across
-        grid.append(line)
-    columns = max((len(x) for x in grid), default=0)
-    parts = [[cell.split("\n") for cell in line] + [[""]] * (columns - len(line)) for line in grid]
-    widths = [max((len(t) for line in parts for t in line[c]), default=0) for c in range(columns)]
-    shown = [c for c in range(columns) if widths[c]]
+        placed.append(line)
+    starts, at = {}, 0
+    for c in sorted(c for c, w in widths.items() if w):
+        starts[c], at = at, at + widths[c] + 2
     out = []
-    for line in parts:
-        for k in range(max((len(line[c]) for c in shown), default=0)):
-            out.append("  ".join((line[c][k] if k < len(line[c]) else "").ljust(widths[c]) for c in shown).rstrip())
+    for line in placed:
+        line = [(starts[c], lines) for c, lines in line if c in starts]
+        for k in range(max((len(lines) for _, lines in line), default=1 if starts else 0)):
+            parts, end = [], 0
+            for begin, lines in line:
+                if k < len(lines) and lines[k]:
+                    parts += [" " * (begin - end), lines[k]]
+                    end = begin + len(lines[k])
+            out.append("".join(parts).rstrip())
     return out
 
 

@@ -1,9 +1,10 @@
 """WARC archives as seekable Zstandard bundles.
 
-General web pages with id, address and content.  Each record is a frame of its
-own, so a reader that knows a frame's place decompresses nothing else.  A bundle
-ends with a skippable frame that lists the sizes of all frames (the public
-seekable format), and an index maps record ids to bundle, frame, offset and length.
+General web pages with id, address and content.  Records are grouped into frames of
+about ``frame_bytes`` bytes, each compressed for itself, so a reader decompresses the one
+frame that holds its record and nothing else.  A bundle ends with a skippable frame that
+lists the sizes of all frames (the public seekable format), and an index maps record ids
+to bundle, frame, and offset and length inside the frame; ``read_record`` reads by it.
 
 Pages with equal payloads of at least ``revisit_min_bytes`` bytes are stored once:
 the page with the smallest id is the ``response``, the others are ``revisit``
@@ -13,7 +14,8 @@ joined, so that copies of one page do not meet in one task.
 The name of a bundle holds the attempt of the task that wrote it, and the index is
 committed by the same task.  A bundle that the index does not name is left from an
 attempt that was lost, and is not read.
-Bundles hold at most ``bundle_bytes`` of payload, except a single larger record.
+Bundles hold at most ``bundle_bytes`` of payload and frames at most ``frame_bytes`` of
+records, except a single larger record.
 
 Defined results: NULL content is an empty payload, a NULL address an empty one; rows
 with equal ids are separate records (the first to be stored is the one revisited);
@@ -65,16 +67,28 @@ def warc_record(page_id, url: str, payload: bytes, digest: str, refers_to) -> by
 
 def parse_record(data: bytes) -> tuple[dict, bytes, bytes]:
     """Fields, HTTP head and payload of one record; lengths are checked."""
-    top, _, rest = data.partition(b"\r\n\r\n")
-    first, *lines = top.decode().split("\r\n")
-    fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
-    block = rest[:int(fields["Content-Length"])]
-    if first != "WARC/1.1" or len(block) != int(fields["Content-Length"]) or rest[len(block):] != b"\r\n\r\n":
-        raise ValueError(f"broken record {fields.get('WARC-Record-ID')}")
-    head, _, payload = block.partition(b"\r\n\r\n")
+    (fields, head, payload, _), *more = split_frame(data)
+    if more:
+        raise ValueError(f"more than one record at {fields.get('WARC-Record-ID')}")
     return fields, head, payload
 
 
+def split_frame(data: bytes):
+    """Fields, HTTP head, payload and offset of every record of a frame, in turn."""
+    at = 0
+    while at < len(data):
+        top = data.find(b"\r\n\r\n", at)
+        first, *lines = data[at:top].decode().split("\r\n")
+        fields = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines)
+        begin, size = top + 4, int(fields.get("Content-Length", -1))
+        block, end = data[begin:begin + size], begin + size + 4
+        if top < 0 or first != "WARC/1.1" or size < 0 or data[begin + size:end] != b"\r\n\r\n":
+            raise ValueError(f"broken record {fields.get('WARC-Record-ID')}")
+        head, _, payload = block.partition(b"\r\n\r\n")
+        yield fields, head, payload, at
+        at = end
+
+
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
     """The footer: compressed and plain size of every frame, count, flags, magic."""
     body = b"".join(struct.pack("<II", c, d) for c, d in frames) + struct.pack("<IBI", len(frames), 0, SEEKABLE_MAGIC)
@@ -97,7 +111,7 @@ _INDEX = pa.schema([("page_id", pa.int64()), ("record_id", pa.string()), ("bundl
                     ("offset", pa.int64()), ("length", pa.int64())])
 
 
-def _writer(folder: str, bundle_bytes: int, level: int):
+def _writer(folder: str, bundle_bytes: int, frame_bytes: int, level: int):
     from pyspark import TaskContext
 
     def run(batches):
@@ -107,9 +121,17 @@ def _writer(folder: str, bundle_bytes: int, level: int):
         store, root = fs.FileSystem.from_uri(folder)
         context = TaskContext.get()
         packer = zstandard.ZstdCompressor(level=level, write_content_size=True)
-        state = {"n": 0, "frames": [], "data": bytearray(), "plain": 0, "rows": []}
+        state = {"n": 0, "frames": [], "data": bytearray(), "plain": 0, "rows": [], "frame": bytearray()}
+
+        def close_frame():
+            if state["frame"]:
+                frame = packer.compress(bytes(state["frame"]))
+                state["frames"].append((len(frame), len(state["frame"])))
+                state["data"] += frame
+                state["frame"] = bytearray()
 
         def close():
+            close_frame()
             name = f"bundle-{context.partitionId():06d}-{state['n']:06d}-{context.taskAttemptId()}.warc.zst"
             with store.open_output_stream(f"{root}/{name}", compression=None) as sink:
                 sink.write(bytes(state["data"]))
@@ -124,10 +146,10 @@ def _writer(folder: str, bundle_bytes: int, level: int):
                 if state["plain"] and state["plain"] + len(payload) > bundle_bytes:
                     yield close()
                 record = warc_record(page, url or "", payload, digest, refers)
-                frame = packer.compress(record)
-                state["rows"].append((page, record_id(page), len(state["frames"]), len(state["data"]), len(frame)))
-                state["frames"].append((len(frame), len(record)))
-                state["data"] += frame
+                if len(state["frame"]) + len(record) > frame_bytes:
+                    close_frame()
+                state["rows"].append((page, record_id(page), len(state["frames"]), len(state["frame"]), len(record)))
+                state["frame"] += record
                 state["plain"] += len(payload)
         if state["rows"]:
             yield close()
@@ -170,12 +192,15 @@ def _bytes() -> Column:
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-               revisit_min_bytes: int = 0, bundle_bytes: int = 16 << 20, level: int = 3) -> DataFrame:
-    """Write bundles below ``folder`` (a shared one) and return their index, one row per record."""
+               revisit_min_bytes: int = 0, bundle_bytes: int = 16 << 20, frame_bytes: int = 256 << 10, level: int = 3) -> DataFrame:
+    """Write bundles below ``folder`` (a shared one) and return their index, one row per record.
+
+    ``offset`` and ``length`` are bytes inside the decompressed frame.
+    """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     records = _with_first(own, revisit_min_bytes)
     _make_folder(pages.sparkSession, folder)
-    return materialize(records.mapInArrow(_writer(folder, bundle_bytes, level),
+    return materialize(records.mapInArrow(_writer(folder, bundle_bytes, frame_bytes, level),
                                           "page_id long, record_id string, bundle string, frame long, offset long, length long"))
 
 
@@ -200,21 +225,44 @@ def _reader(batches):
         for path, content in zip(batch.column(0), batch.column(1)):
             name, data, rows = path.as_py().rsplit("/", 1)[-1], memoryview(content.as_buffer()), []
             for k, (at, size, _) in enumerate(read_seek_table(data)):
-                fields, head, payload = parse_record(opener.decompress(data[at:at + size]))
-                full = int(head.rsplit(b"Content-Length: ", 1)[1])
-                digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                    raise ValueError(f"payload of {fields['WARC-Record-ID']} does not fit its digest")
-                refers = fields.get("X-Refers-To-Page")
-                rows.append((int(fields["X-Page-ID"]) if fields["X-Page-ID"] != "None" else None, fields["WARC-Record-ID"], fields["WARC-Type"],
-                             None if refers is None else int(refers), fields["WARC-Target-URI"], digest, payload, full, name, k))
-                if len(rows) == 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names)
-                    rows = []
+                for fields, head, payload, _ in split_frame(opener.decompress(data[at:at + size])):
+                    rows.append((*_values(fields, head, payload), name, k))
+                    if len(rows) == 256:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names)
+                        rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names)
 
 
+def _values(fields: dict, head: bytes, payload: bytes) -> tuple:
+    """``page_id, record_id, record_type, refers_to, url, digest, payload, full_bytes``; the digest of a response is checked."""
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+        raise ValueError(f"payload of {fields['WARC-Record-ID']} does not fit its digest")
+    page, refers = fields["X-Page-ID"], fields.get("X-Refers-To-Page")
+    return (int(page) if page != "None" else None, fields["WARC-Record-ID"], fields["WARC-Type"], None if refers is None else int(refers),
+            fields["WARC-Target-URI"], digest, payload, int(head.rsplit(b"Content-Length: ", 1)[1]))
+
+
+def read_record(folder: str, row) -> tuple[dict, bytes, bytes]:
+    """Fields, HTTP head and payload of one record, given its row of the index.
+
+    Reads the seek table and one frame of the bundle, nothing else of it.
+    """
+    import zstandard
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    with store.open_input_file(f"{root}/{row['bundle']}") as bundle:
+        size = bundle.size()
+        frames = struct.unpack("<IBI", bundle.read_at(9, size - 9))[0]
+        # Footer: magic and length, two numbers a frame, then count, flags and magic.
+        table = 8 * frames + 9
+        at, packed, _ = read_seek_table(bundle.read_at(table, size - table))[row["frame"]]
+        plain = zstandard.ZstdDecompressor().decompress(bundle.read_at(packed, at))
+    return parse_record(plain[row["offset"]:row["offset"] + row["length"]])
+
+
 def read_warc(spark: SparkSession, folder: str, index: DataFrame) -> DataFrame:
     """All records of the bundles that ``index`` names: ids, type, address, digest, payload (empty in revisits), full length."""
     named = materialize(index.select("bundle").distinct())

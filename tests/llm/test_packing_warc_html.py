@@ -1,5 +1,6 @@
 """Exact round trips of packing and archives; rendering of small pages."""
 
+import random
 import struct
 import zlib
 
@@ -9,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foldwise.llm.html_text import extract_text, page_text
+from foldwise.llm.html_text import _aligned, extract_text, page_text
 from foldwise.llm.packing import Packer, encoder, pack
-from foldwise.llm.warc import new_folder, parse_record, read_seek_table, read_warc, seek_table, write_warc
+from foldwise.llm.warc import new_folder, parse_record, read_record, read_seek_table, read_warc, seek_table, write_warc
 
 from .helpers import documents, odd_texts, prose
 
@@ -75,7 +76,7 @@ def test_warc_round_trip(spark, monkeypatch):
     folder = new_folder(spark)
     index = write_warc(pages(spark, rows).repartition(4), folder, bundle_bytes=5000)
     got = read_warc(spark, folder, index).collect()
-    assert len(got) == len(rows) == index.select("record_id", "bundle", "frame").distinct().count()
+    assert len(got) == len(rows) == index.select("record_id", "bundle", "frame", "offset").distinct().count()
     first: dict = {}
     for k, _, h in rows:
         first[h or ""] = min(k, first.get(h or "", k))
@@ -95,14 +96,25 @@ def test_one_frame_opens_alone(spark):
     from pyarrow import fs
 
     folder = new_folder(spark)
-    row = write_warc(pages(spark, [(k, "http://h", f"<p>{k}</p>") for k in range(9)]).coalesce(1), folder).where("page_id = 4").first()
+    # Records of about 430 bytes, three to a frame.
+    index = write_warc(pages(spark, [(k, "http://h", f"<p>{k}</p>") for k in range(9)]).coalesce(1), folder, frame_bytes=1500)
+    row = index.where("page_id = 4").first()
     store, root = fs.FileSystem.from_uri(folder)
     with store.open_input_file(f"{root}/{row['bundle']}") as f:
         data = f.read()
-    at, size, plain = read_seek_table(data)[row["frame"]]
-    assert (at, size) == (row["offset"], row["length"])
-    record = zstandard.ZstdDecompressor().decompress(data[at:at + size])
-    assert len(record) == plain and parse_record(record)[2] == b"<p>4</p>"
+    frames = read_seek_table(data)
+    assert len(frames) == index.select("frame").distinct().count() == 3
+    at, size, plain = frames[row["frame"]]
+    frame = zstandard.ZstdDecompressor().decompress(data[at:at + size])
+    assert len(frame) == plain <= 1500 and frame.count(b"WARC/1.1\r\n") == 3
+    assert parse_record(frame[row["offset"]:row["offset"] + row["length"]])[2] == b"<p>4</p>"
+    for r in index.collect():
+        fields, _, payload = read_record(folder, r)
+        assert (fields["X-Page-ID"], fields["WARC-Record-ID"], payload) == (str(r["page_id"]), r["record_id"], f"<p>{r['page_id']}</p>".encode())
+    with pytest.raises(ValueError):
+        parse_record(frame)  # several records
+    with pytest.raises(ValueError):
+        parse_record(frame[:-1])
     assert zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read().count(b"WARC/1.1\r\n") == 9
     assert read_seek_table(seek_table([(3, 5), (4, 6)])) == [(0, 3, 5), (3, 4, 6)]
     with pytest.raises(ValueError):
@@ -116,6 +128,9 @@ def test_one_frame_opens_alone(spark):
     ("<table><tr><th>N<th>Quantity<tr><td>Apple<td>1<tr><td colspan=2>all</table>", "N      Quantity\nApple  1\nall"),
     ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"), ("<pre>\n a\n  b</pre>", " a\n  b"), ("a &amp; b&nbsp;c &lt;d&gt; &bogus; <", "a & b c <d> &bogus; <"),
     ("<!-- x --><p>y<!-- z", "y"), ("<dl><dt>t<dd>d</dl>", "t\n  d"), ("<a href='>'>q</a>", "q"), ("<select><option>1<option>2</select>", "1\n2"),
+    ("<dialog>secret</dialog>a<dialog open>b</dialog>", "a\nb"), ("<ruby>k<rp>(</rp><rt>r</rt><rp>)</rp></ruby>", "kr"),
+    ("<table><tr><td colspan=3>a<td>b<tr><td>c<td rowspan=2 colspan=2>d\n<td>e<tr><td>f<td>g</table>", "a     b\nc  d  e\nf     g"),
+    ("<table><tr><td>a<tr><td><tr><td>b</table>", "a\n\nb"),
     ("x</p>y", "x\n\ny"), ("<details>hid<summary>s</summary></details><details open>seen</details>", "s\nseen"),
 ])
 def test_rendering(source, want):
@@ -128,6 +143,40 @@ def test_deep_and_broken_pages():
     assert page_text("<p " * 5000 + ">x") == "x"
 
 
+def plain_table(rows):
+    """Lines of a table by a grid in which every cell is filled in."""
+    grid = {}
+    for r, row in enumerate(rows):
+        c = 0
+        for text, across, down in row:
+            while (r, c) in grid:
+                c += 1
+            for i in range(r, min(r + down, len(rows))):
+                for j in range(c, c + across):
+                    grid.setdefault((i, j), "")
+            grid[r, c] = text
+            c += across
+    columns = range(1 + max((c for _, c in grid), default=-1))
+    widths = [max(len(t) for (_, k), t in grid.items() if k == c) for c in columns]
+    return ["  ".join(grid.get((r, c), "").ljust(widths[c]) for c in columns if widths[c]).rstrip() for r in range(len(rows))] if any(widths) else []
+
+
+def test_tables_beside_a_filled_grid():
+    rng = random.Random(7)
+    for _ in range(400):
+        rows = [[(rng.choice(["", "a", "bcd"]), rng.choice([1, 1, 2, 5]), rng.choice([1, 1, 2, 4])) for _ in range(rng.randrange(5))] for _ in range(rng.randrange(1, 7))]
+        assert _aligned(rows) == plain_table(rows), rows
+
+
+def test_small_pages_with_wide_tables_and_deep_lists():
+    wide = "<table><tr>" + "<td colspan=1000>x" * 200 + "<tr><td>y" * 4000 + "</table>"
+    assert len(page_text(wide)) < 4 * len(wide)
+    tall = "<table>" + "<tr>" + "<td rowspan=9999>x" * 1000 + "<tr><td>y" * 100 + "</table>"
+    assert page_text(tall).count("y") == 100
+    deep = "<ul><li>x" * 4000
+    assert len(page_text(deep)) < 20 * len(deep) and page_text(deep).count("- x") == 4000
+
+
 def test_extract_text_rows(spark):
     got = extract_text(pages(spark, [(1, "u", None), (1, "u", None), (2, "u", ""), (3, "u", "<p>x")])).collect()
     assert sorted(map(tuple, got), key=str) == [(1, None), (1, None), (2, ""), (3, "x")]
