@@ -17,9 +17,9 @@ rows: a task reads a cell's queries, then its vectors in blocks, multiplies the
 and keeps each query's best. A query whose cells hold too few candidates for a full list
 is compared with all vectors instead, some thousand such queries at a time.
 
-Defined results: vectors that are NULL, zero, of another length than the longest or
-hold NULL or non-finite numbers take no part, as do NULL ids; ties go to the smaller
-id; a query has as many rows as there are candidates, at most ``k``; an empty table gives
+Defined results: vectors that are NULL, zero or hold NULL or non-finite numbers take no
+part, as do NULL ids; other vectors of several lengths are an error, as is a recall that
+is not met with eight times the tables; ties go to the smaller id; a query has as many rows as there are candidates, at most ``k``; an empty table gives
 an empty table.
 """
 
@@ -91,7 +91,7 @@ def probed_cells(tables: Tables, places: np.ndarray, probes: int) -> np.ndarray:
 
 
 def fit_probes(vectors: np.ndarray, tables: Tables, recall: float, k: int, choices=(1, 2, 4, 8, 16, 32, 64), queries: int = 100) -> int:
-    """The least of ``choices`` whose recall on the sample is enough, else the largest."""
+    """The least of ``choices`` whose recall on the sample is enough; an error if none is."""
     if len(vectors) <= k + 1:
         return choices[0]
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -104,7 +104,19 @@ def fit_probes(vectors: np.ndarray, tables: Tables, recall: float, k: int, choic
         hit = [np.mean([any(cells[b, t] in p[t, :n] for t in range(tables.tables)) for b in row]) for row, p in zip(best, probed)]
         if np.mean(hit) >= recall:
             return n
-    return choices[-1]
+    raise ValueError(f"recall {np.mean(hit):.3f} of the wanted {recall} with {choices[-1]} probes of {tables.tables} tables")
+
+
+def fit_tables(vectors: np.ndarray, dimensions: int, tables: int, hashes: int, width: float, recall: float, k: int, rounds: int = 3) -> tuple[Tables, int]:
+    """Tables and probes that reach the wanted recall on the sample; tables double up to ``rounds`` times."""
+    for left in range(rounds, -1, -1):
+        made = Tables(dimensions, tables, hashes, width)
+        try:
+            return made, fit_probes(vectors, made, recall, k)
+        except ValueError:
+            if not left:
+                raise
+            tables *= 2
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -230,9 +242,12 @@ def nearest_periods(sample: DataFrame, queries: Column, id_col: str = "pos", vec
                     hashes: int = 8, width: float = 2.5, recall: float = 0.98, sample_size: int = 5000) -> DataFrame:
     """``query_id, rank, id, score``: for the rows where ``queries`` (a condition on ``id``) holds, their ``k`` nearest others."""
     raw = sample.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    longest = raw.agg(F.max(F.size("vector"))).first()[0] or 0
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    valid = raw.where(F.col("id").isNotNull() & (F.size("vector") == max(longest, 1)) & sound & F.exists("vector", lambda x: x != 0))
+    valid = raw.where(F.col("id").isNotNull() & sound & F.exists("vector", lambda x: x != 0))
+    shortest, longest = valid.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if shortest != longest:
+        raise ValueError(f"vectors of {shortest} to {longest} components; all must be of one length")
+    longest = longest or 1
     marked = materialize(valid.select("id", F.xxhash64("vector").alias("key"), F.xxhash64(F.lit(1), "vector").alias("key2"), queries.alias("asks")))
     place = F.row_number().over(Window.partitionBy("key", "key2").orderBy("id"))
     entries = materialize(marked.select("key", "key2", "id").withColumn("_n", place).where(F.col("_n") <= k + 1)
@@ -243,8 +258,7 @@ def nearest_periods(sample: DataFrame, queries: Column, id_col: str = "pos", vec
     index = valid.join(entries.select(F.col("entry").alias("id")), "id").join(asked, "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     index = materialize(index.dropDuplicates(["id"]))
     fitted = index.orderBy(F.xxhash64("id")).limit(sample_size).select("vector").collect()
-    hasher = Tables(max(longest, 1), tables, hashes, width)
-    probes = fit_probes(np.array([r[0] for r in fitted], dtype=float).reshape(len(fitted), max(longest, 1)), hasher, recall, k)
+    hasher, probes = fit_tables(np.array([r[0] for r in fitted], dtype=float).reshape(len(fitted), longest), longest, tables, hashes, width, recall, k)
     placed = index.select("id", "vector", "asks").mapInArrow(_indexer(hasher, probes), "table int, cell long, side int, id long, vector binary")
     met = placed.repartition("table", "cell").sortWithinPartitions("table", "cell", "side")
     found = met.mapInArrow(_ranker(k + 1), "query long, candidate long, score double").dropDuplicates(["query", "candidate"])

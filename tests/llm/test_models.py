@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foldwise.llm import quality_classifier as Q
 from foldwise.llm.language_model import END, Bilinear, Vocabulary, score_texts
-from foldwise.llm.neighbours import Tables, nearest_periods, probe_order, probed_cells
+from foldwise.llm.neighbours import Tables, fit_probes, fit_tables, nearest_periods, probe_order, probed_cells
 from foldwise.llm.quality_classifier import CHUNK_WINDOWS, STEP, Network, score_quality
 
 from .helpers import documents, odd_texts, prose, words
@@ -128,7 +128,7 @@ def test_neighbours_beside_brute_force(spark):
     x = (centres[rng.integers(0, 30, 900)] + 0.3 * rng.normal(size=(900, 12))).astype(np.float32)
     x[300:600] = x[300]  # a third are equal
     rows = [(k, [float(v) for v in x[k]]) for k in range(900)]
-    odd = [(1000, None), (1050, [0.0] * 12), (1100, [float("nan")] * 12), (1150, [float("inf")] + [1.0] * 11), (1200, [1.0]), (None, [1.0] * 12),
+    odd = [(1000, None), (1050, [0.0] * 12), (1100, [float("nan")] * 12), (1150, [float("inf")] + [1.0] * 11), (1200, []), (None, [1.0] * 12),
            (1250, [None] + [1.0] * 11)]
     frame = periods(spark, rows + odd).repartition(4)
     got = nearest_periods(frame, F.col("id") % 50 == 0).collect()
@@ -152,3 +152,15 @@ def test_neighbours_beside_brute_force(spark):
     few = nearest_periods(periods(spark, rows[:3]), F.col("id") % 50 == 0).collect()
     assert len(few) == 2
     assert nearest_periods(periods(spark, rows[:1]).limit(0), F.col("id") % 50 == 0).count() == 0
+    with pytest.raises(ValueError, match="of one length"):
+        nearest_periods(periods(spark, [*rows[:3], (1200, [1.0])]), F.col("id") % 50 == 0)
+
+
+def test_tables_grow_until_recall_is_met():
+    x = np.random.default_rng(4).normal(size=(1500, 256))
+    with pytest.raises(ValueError, match="of the wanted 0.98"):
+        fit_probes(x, Tables(256, 2, 8, 2.5), 0.98, 5)
+    made, probes = fit_tables(x, 256, 2, 8, 2.5, 0.98, 5)
+    assert made.tables > 2 and fit_probes(x, made, 0.98, 5) == probes
+    with pytest.raises(ValueError, match="of the wanted"):
+        fit_tables(x, 256, 1, 8, 0.1, 0.98, 5, rounds=0)
